@@ -13,8 +13,15 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(spark, table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
+        "op7_best_fit_packing": op7_best_fit_packing,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
     }
 
