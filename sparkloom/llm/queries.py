@@ -19,8 +19,15 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .training_order import written_and_read
+
+    return written_and_read(spark, table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
+        "op8_token_shards": op8_token_shards,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
     }

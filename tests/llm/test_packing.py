@@ -80,7 +80,14 @@ def test_pack_equals_library(spark):
             assert o == at
             at += n
         assert at <= 1024
-    assert len(spans) <= -(-sum(x.length for x in rows) // 1024) + 2
+    free = []  # first-fit decreasing
+    for n in sorted((x.length for x in rows), reverse=True):
+        k = next((k for k, f in enumerate(free) if f >= n), None)
+        if k is None:
+            free.append(1024 - n)
+        else:
+            free[k] -= n
+    assert len(spans) <= len(free)
 
 
 def test_pack_empty_and_repeated(spark):
