@@ -25,8 +25,22 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written_and_read(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quantised_pairs import near_vectors
+
+    return near_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    return archive_pages(spark, table(spark, sf_dir, "pages"))
+
+
 def queries():
     return {
+        "op2_warc": op2_warc,
+        "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op8_token_shards": op8_token_shards,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
