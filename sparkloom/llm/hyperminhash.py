@@ -8,11 +8,13 @@ At similarity 0.8 a register agrees with chance 0.8 at least, empty ones include
 none of 32 bands of four with chance (1 - 0.8**4)**32 = 5e-8.
 
 Documents with equal sets form a class, and only its smallest doc_id goes on. Candidates are
-estimated from all registers, with the collisions that compression causes taken off, and those far
-below the threshold (by more than eight standard errors) go. The rest are confirmed on their full
-shingle sets. No bucket's pairs are all emitted: first, each document meets the least member of its
-buckets; then only members of buckets that still hold several components meet, in blocks, and only
-across components. So every linked pair of a bucket is either tested or already connected.
+estimated from all registers, with the collisions that compression causes taken off, and those more
+than five standard errors below the threshold (a chance of 3e-7 at the threshold) go. The rest are
+confirmed on their full shingle sets. No bucket's pairs are all emitted. First, each document meets
+the likeliest of its buckets' least members. Then members of buckets that still hold several
+components meet in blocks, across components only: first each with the likeliest of each other
+component, then all that are still apart. So every linked pair of a bucket has been tested or is
+connected already.
 """
 
 from __future__ import annotations
@@ -110,13 +112,25 @@ def _band_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(rep)], names=["key", "rep"])
 
 
-def _estimated(least: float):
+def least_estimate(threshold: float, filled: np.ndarray) -> np.ndarray:
+    """Estimates below this, five standard errors under the threshold, are given up; filled: registers compared."""
+    return threshold - 5 * np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1)) - 1e-9
+
+
+def _filled(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a != EMPTY) | (b != EMPTY)).sum(axis=1)
+
+
+def _estimated(threshold: float):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 names = batch.schema.names
-                near = estimate(_registers(batch.column(names.index("sa"))), _registers(batch.column(names.index("sb")))) >= least
-                yield batch.select([n for n in names if n not in ("sa", "sb")]).filter(pa.array(near))
+                a, b = (_registers(batch.column(names.index(c))) for c in ("sa", "sb"))
+                like = estimate(a, b)
+                out = batch.select(["b", "a", "c"])
+                out = pa.RecordBatch.from_arrays([*out.columns, pa.array(like)], names=["b", "a", "c", "like"])
+                yield out.filter(pa.array(like >= least_estimate(threshold, _filled(a, b))))
 
     return run
 
@@ -160,23 +174,45 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     return rows.groupBy("a", "salts", "salt").applyInArrow(_confirm(k, percent), "a long, b long")
 
 
-def _block_pairs(least: float):
+def _block_pairs(threshold: float, best: bool):
+    """Pairs of a bucket's block(s) that lie in different components, each in the first band that it shares only.
+
+    best: for each member and other component, the likeliest pair; else all that may reach the threshold.
+    """
+
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        rep, comp, first = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "first"))
-        own = table.column("block").to_numpy()
+        rep, comp, own, first = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "block", "first"))
         regs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(rep), -1)
+        packed = regs.view(U).reshape(len(rep), TABLES)
+        key = U(table.column("key")[0].as_py() & 0xFFFFFFFFFFFFFFFF)
+        band = int(np.flatnonzero(band_keys(regs[:1].reshape(1, TABLES, BUCKETS))[0] == key)[0])
         same = bool((own == own[0]).all())
-        left = np.flatnonzero(first) if not same else np.arange(len(rep))
-        right = np.flatnonzero(~first) if not same else np.arange(len(rep))
-        out_a, out_b = [], []
-        for i in left:
-            others = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) if same else True)]
-            if len(others):
-                near = others[estimate(regs[others], np.broadcast_to(regs[i], (len(others), regs.shape[1]))) >= least]
-                out_a += [int(min(rep[i], rep[j])) for j in near]
-                out_b += [int(max(rep[i], rep[j])) for j in near]
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+        every = np.arange(len(rep))
+        sides = [(every, every)] if same else [(np.flatnonzero(first), np.flatnonzero(~first))]
+        if best and not same:
+            sides.append(sides[0][::-1])
+        out: list[tuple] = []
+        for left, right in sides:
+            for i in left:
+                others = right[comp[right] != comp[i]]
+                if same and not best:
+                    others = others[rep[others] > rep[i]]
+                others = others[(packed[others] == packed[i]).argmax(axis=1) == band]
+                if not len(others):
+                    continue
+                mine = np.broadcast_to(regs[i], (len(others), regs.shape[1]))
+                like = estimate(regs[others], mine)
+                good = like >= least_estimate(threshold, _filled(regs[others], mine))
+                others, like = others[good], like[good]
+                if best:
+                    order = np.lexsort((rep[others], -like, comp[others]))
+                    others, like = others[order], like[order]
+                    top = np.flatnonzero(np.diff(comp[others], prepend=-1) != 0) if len(others) else []
+                    others, like = others[top], like[top]
+                out += [(int(min(rep[i], rep[j])), int(max(rep[i], rep[j])), float(x), int(rep[i]), int(comp[j])) for j, x in zip(others, like)]
+        a, b, like, who, to = zip(*out) if out else ((),) * 5
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "like": pa.array(like, pa.float64()), "who": pa.array(who, pa.int64()), "other": pa.array(to, pa.int64())})
 
     return run
 
@@ -191,7 +227,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     table gives no rows. Ties: of equal documents the smallest doc_id is kept.
     """
     kept = Stored(spark)
-    least = percent / 100 - 0.3
+    threshold = percent / 100
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, n_shingles long, s1 long, s2 long, sketch binary"
     sketched = kept.put("hm_sketch", docs.mapInArrow(signature_rows(k), schema))
@@ -205,33 +241,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
         star.select(F.col("lead").alias("a"), F.col("rep").alias("b"), "c")
         .join(reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
         .join(reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-        .mapInArrow(_estimated(least), "b long, a long, c long")
+        .mapInArrow(_estimated(threshold), "b long, a long, c long, like double")
     )
-    near = kept.put("hm_near", near)
-    first = kept.put("hm_first", near.groupBy("b").agg(F.min(F.struct("a", "c")).alias("x")).select("x.a", "b", "x.c"))
-    links = kept.put("hm_links", confirm(docs, first, k, percent))
-    comp = kept.put("hm_comp", components(spark, links, kept))
-    kept.drop("components")
-
-    labelled = reps.join(comp, reps.rep == comp.id, "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
-    labelled = kept.put("hm_label", labelled)
-    a_comp, b_comp = (labelled.select(F.col("rep").alias(x), F.col("comp").alias(f"{x}_comp")) for x in "ab")
-    across = near.join(first.select("a", "b"), ["a", "b"], "left_anti").join(a_comp, "a").join(b_comp, "b").where("a_comp <> b_comp").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    wide = leaders.where("c > 2").select("key", "c")
-    members = kept.put("hm_member", bands.join(wide, "key").join(labelled, "rep").select("key", "c", "rep", "comp"))
-    several = kept.put("hm_several", members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
-    left = members.join(several, "key", "left_semi").join(reps, "rep").withColumn("n", F.ceil(F.col("c") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", (F.col("block") <= F.col("other")).alias("first"), "rep", "comp", "sketch")
-    cross = left.groupBy("key", "i", "j").applyInArrow(_block_pairs(least), "a long, b long")
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = cross.unionByName(across).distinct().join(tested, ["a", "b"], "left_anti")
-    second = kept.put("hm_second", second)
-    counts = kept.put("hm_count", second.groupBy("a").agg(F.count("*").alias("c")))
-    more = kept.put("hm_more", confirm(docs, second.join(counts, "a"), k, percent))
-    merged = components(spark, comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more), kept)
-    final = kept.put("hm_final", classes.join(merged, classes.rep == merged.id, "left").select("s1", "s2", F.coalesce("comp", "rep").alias("component_id")))
-    kept.drop("hm_rep", "hm_lead", "hm_near", "hm_first", "hm_links", "hm_comp", "hm_label", "hm_member", "hm_several", "hm_second", "hm_count", "hm_more", "components", "hm_class")
+    # Round 1: each document and the likeliest leader of its buckets.
+    likeliest = F.max_by(F.struct("a", "c"), F.struct("like", -F.col("a")))
+    tested = kept.put("hm_tested", near.groupBy("b").agg(likeliest.alias("x")).select("x.a", "b", "x.c"))
+    comp = kept.put("hm_comp", components(spark, kept.put("hm_links", confirm(docs, tested, k, percent)), kept))
+    # Rounds 2 and 3: what buckets still hold across components, first the likeliest pairs, then all.
+    for best in (True, False):
+        labelled = kept.put("hm_label", reps.join(comp, reps.rep == comp.id, "left").select("rep", F.coalesce("comp", "rep").alias("comp")))
+        members = kept.put("hm_member", bands.join(leaders.select("key", "c"), "key").join(labelled, "rep").select("key", "c", "rep", "comp"))
+        several = kept.put("hm_several", members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
+        left = members.join(several, "key", "left_semi").join(reps, "rep").withColumn("n", F.ceil(F.col("c") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")))
+        left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", (F.col("block") <= F.col("other")).alias("first"), "rep", "comp", "sketch")
+        pairs = left.groupBy("key", "i", "j").applyInArrow(_block_pairs(threshold, best), "a long, b long, like double, who long, other long")
+        if best:
+            pairs = pairs.groupBy("who", "other").agg(F.max_by(F.struct("a", "b"), F.struct("like", -F.col("a"), -F.col("b"))).alias("x")).select("x.*")
+        seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = kept.put("hm_pairs", pairs.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"))
+        counts = kept.put("hm_count", pairs.groupBy("a").agg(F.count("*").alias("c")))
+        now = kept.put("hm_now", pairs.join(counts, "a"))
+        more = kept.put("hm_links", confirm(docs, now.select("a", "b", "c"), k, percent))
+        comp = kept.put("hm_comp", components(spark, comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more), kept))
+        tested = kept.put("hm_tested", tested.unionByName(now.select("a", "b", "c")))
+        kept.drop("hm_label", "hm_member", "hm_several", "hm_pairs", "hm_count", "hm_now")
+    final = kept.put("hm_final", classes.join(comp, classes.rep == comp.id, "left").select("s1", "s2", F.coalesce("comp", "rep").alias("component_id")))
+    kept.drop("hm_rep", "hm_lead", "hm_tested", "hm_links", "hm_comp", "components", "hm_class")
 
     told = sketched.select("doc_id", "n_shingles", "s1", "s2")
     joined = told.where("doc_id is not null and n_shingles > 0").join(final, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
