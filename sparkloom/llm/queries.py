@@ -37,8 +37,16 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark, table(spark, sf_dir, "pages"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judged
+
+    rows = judged(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries():
     return {
+        "op5_quality_rules": op5_quality_rules,
         "op2_warc": op2_warc,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op8_token_shards": op8_token_shards,
