@@ -44,8 +44,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    return judge_urls(spark, table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries():
     return {
+        "op9_url_filters": op9_url_filters,
         "op5_quality_rules": op5_quality_rules,
         "op2_warc": op2_warc,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
