@@ -50,8 +50,15 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark, table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
     return {
+        "op10_toxicity": op10_toxicity,
         "op9_url_filters": op9_url_filters,
         "op5_quality_rules": op5_quality_rules,
         "op2_warc": op2_warc,
