@@ -56,8 +56,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .domain_score import score
+
+    return score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def queries():
     return {
+        "op4_lm_scoring": op4_lm_scoring,
         "op10_toxicity": op10_toxicity,
         "op9_url_filters": op9_url_filters,
         "op5_quality_rules": op5_quality_rules,
