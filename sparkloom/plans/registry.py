@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import graph_queries
+
+_PARTS = (graph_queries,)
+
 
 def queries():
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
