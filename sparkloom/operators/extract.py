@@ -9,7 +9,7 @@ from __future__ import annotations
 import ast
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,16 +188,16 @@ class FileFacts:
 def extract(files: DataFrame) -> DataFrame:
     """FACTS of Python files (path, content): nodes, edges, and raw calls, imports, bases and errors."""
     names = [x.strip().split(" ")[0] for x in FACTS.split(", ")]
+    kinds = {"seq": pa.int64(), "line_start": pa.int64(), "line_end": pa.int64(), "props": pa.map_(pa.string(), pa.string())}
 
     def run(batches):
-        for pdf in batches:
-            rows = [r for path, text in zip(pdf.path, pdf.content) for r in FileFacts(path, text or "").run()]
-            out = pd.DataFrame(rows, columns=names)
-            for c in ("line_start", "line_end"):
-                out[c] = out[c].astype("Int64")
-            yield out
-
-    return files.select("path", "content").mapInPandas(run, FACTS)
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = FileFacts(path, text or "").run()
+                columns = [pa.array([list(r["props"].items()) if n == "props" else r.get(n) for r in rows], kinds.get(n, pa.string())) for n in names]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return files.select("path", "content").mapInArrow(run, FACTS)
 
 
 def folders(files: DataFrame) -> tuple[DataFrame, DataFrame]:

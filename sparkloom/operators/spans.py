@@ -64,9 +64,9 @@ def budget_pack(items: DataFrame, keys: list[str], order: list, size: Column, bu
     """Items kept under a budget in order: the first always, then until the first that doesn't fit; adds total."""
     by = W.partitionBy(*keys).orderBy(*order)
     total = F.sum(size).over(by.rowsBetween(W.unboundedPreceding, 0))
-    rows = items.withColumn("total", total).withColumn("rank", F.row_number().over(by))
+    rows = items.withColumn("total", total).withColumn("_place", F.row_number().over(by))
     # Sizes aren't negative, so the running total tells whether anything before has overflowed.
-    return rows.where((F.col("rank") == 1) | (F.col("total") <= budget)).drop("rank")
+    return rows.where((F.col("_place") == 1) | (F.col("total") <= budget)).drop("_place")
 
 
 def _fold(entries: Column, max_items: int, max_size: int) -> Column:

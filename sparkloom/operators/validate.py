@@ -94,7 +94,7 @@ def property_types(values: DataFrame, rules: DataFrame) -> DataFrame:
 def patterns(graph: PropertyGraph, rules: DataFrame) -> DataFrame:
     """Property values that their pattern doesn't match from the start on. rules: meta_type, key, pattern."""
     rows = graph.nodes.join(F.broadcast(rules), "meta_type").withColumn("value", F.col("props")[F.col("key")])
-    bad = rows.where("value is not null").where(~F.col("value").rlike(F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")"))))
+    bad = rows.where("value is not null").where(~F.rlike(F.col("value"), F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")"))))
     return _rows(bad, "data", "PATTERN_VALIDATION_FAILED", "id", F.concat_ws("=", "key", "value"))
 
 
