@@ -51,7 +51,7 @@ def lists(spark, d):
     return out, gold
 
 
-_METRIC_COLUMNS = ", ".join(f"avg(h{k} / g) AS recall_frac_{k}, avg(CASE WHEN h{k} > 0 THEN 1.0 ELSE 0 END) AS hit_any_{k}, avg(CASE WHEN h{k} = g THEN 1.0 ELSE 0 END) AS cover_{k}" for k in E.KS)
+_METRIC_COLUMNS = ", ".join(f"round(avg(h{k} / g), 6) AS recall_frac_{k}, round(avg(CASE WHEN h{k} > 0 THEN 1.0 ELSE 0 END), 6) AS hit_any_{k}, round(avg(CASE WHEN h{k} = g THEN 1.0 ELSE 0 END), 6) AS cover_{k}" for k in E.KS)
 
 
 @query("recall_cov_at_k", f"""WITH {_LISTS}, g AS (SELECT instance, count(*) AS g FROM gold GROUP BY 1),
@@ -60,7 +60,8 @@ m AS (SELECT unnest(['qty', 'price']) AS method)
 SELECT m.method, count(*) AS instances, {_METRIC_COLUMNS} FROM (SELECT m.method, g.instance, g, {', '.join(f'coalesce(h{k}, 0) AS h{k}' for k in E.KS)} FROM g CROSS JOIN m LEFT JOIN h ON h.method = m.method AND h.instance = g.instance) m GROUP BY 1""")
 def recall_cov_at_k(spark, d):
     ranked, gold = lists(spark, d)
-    return E.macro(E.per_instance(ranked, gold, ["qty", "price"]))
+    means = E.macro(E.per_instance(ranked, gold, ["qty", "price"]))
+    return means.select("method", "instances", *[F.round(c, 6).alias(c) for c in means.columns[2:]])
 
 
 @query("first_hit", f"WITH {_LISTS}, g AS (SELECT instance, count(*) AS n_gold FROM gold GROUP BY 1), l AS (SELECT instance, count(DISTINCT item) AS n_listed FROM ranked WHERE method = 'qty' GROUP BY 1), f AS (SELECT instance, min(pos) AS first_hit FROM ranked JOIN gold USING (instance, item) WHERE method = 'qty' GROUP BY 1) SELECT instance, n_gold, coalesce(n_listed, 0) AS n_listed, first_hit FROM g LEFT JOIN l USING (instance) LEFT JOIN f USING (instance)")
