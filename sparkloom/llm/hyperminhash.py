@@ -252,6 +252,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
         labelled = kept.put("hm_label", reps.join(comp, reps.rep == comp.id, "left").select("rep", F.coalesce("comp", "rep").alias("comp")))
         members = kept.put("hm_member", bands.join(leaders.select("key", "c"), "key").join(labelled, "rep").select("key", "c", "rep", "comp"))
         several = kept.put("hm_several", members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
+        if several.isEmpty():
+            break
         left = members.join(several, "key", "left_semi").join(reps, "rep").withColumn("n", F.ceil(F.col("c") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")))
         left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", (F.col("block") <= F.col("other")).alias("first"), "rep", "comp", "sketch")
@@ -260,13 +262,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
             pairs = pairs.groupBy("who", "other").agg(F.max_by(F.struct("a", "b"), F.struct("like", -F.col("a"), -F.col("b"))).alias("x")).select("x.*")
         seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = kept.put("hm_pairs", pairs.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
         counts = kept.put("hm_count", pairs.groupBy("a").agg(F.count("*").alias("c")))
         now = kept.put("hm_now", pairs.join(counts, "a"))
         more = kept.put("hm_links", confirm(docs, now.select("a", "b", "c"), k, percent))
-        comp = kept.put("hm_comp", components(spark, comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more), kept))
+        if not more.isEmpty():
+            comp = kept.put("hm_comp", components(spark, comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more), kept))
         tested = kept.put("hm_tested", tested.unionByName(now.select("a", "b", "c")))
         kept.drop("hm_label", "hm_member", "hm_several", "hm_pairs", "hm_count", "hm_now")
     final = kept.put("hm_final", classes.join(comp, classes.rep == comp.id, "left").select("s1", "s2", F.coalesce("comp", "rep").alias("component_id")))
+    kept.drop("hm_label", "hm_member", "hm_several", "hm_pairs")
     kept.drop("hm_rep", "hm_lead", "hm_tested", "hm_links", "hm_comp", "components", "hm_class")
 
     told = sketched.select("doc_id", "n_shingles", "s1", "s2")

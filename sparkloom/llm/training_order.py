@@ -4,7 +4,7 @@ Texts become one stream of ids in each input partition, every document followed
 into sequences of ``length``; the stream's last sequence is filled up with ``end_id`` and says how
 many of its ids are real. Sequences are numbered through all partitions; the number's slot is its
 image under a Feistel network over the next even power of two, walked along its cycle until it
-falls below the number of sequences. Range partitions of slots are sorted and written as raw shards
+falls below the number of sequences. Range partitions of slots are sorted and written, some waves of them, as raw shards
 whose records all have the same stride, so that slot s lies in shard s // shard_rows at
 (s % shard_rows) * stride: a reader goes on from any slot without an index.
 
@@ -28,6 +28,8 @@ from .textkernel import U, mix
 from .tokens import Encoder
 
 LENGTH, END_ID, SHARD_ROWS, ROUNDS = 1024, 50256, 8192, 6
+#: Shards are shuffled and written in so many waves at most, so that a part of the ids only is on disk thrice.
+WAVES = 4
 TRAILER = b"\n\n"
 
 
@@ -119,22 +121,41 @@ def materialise(spark: SparkSession, docs: DataFrame, key: int = 20_26, length:
     bases = np.cumsum([0, *(n for _, n in counts)])[:-1].astype(np.int64)
     path = new_path(spark, "to_shards")
 
-    def slots(batches):
-        for batch in batches:
-            if batch.num_rows:
-                pid, local, doc, at, n, ids = (batch.column(k) for k in range(6))
-                number = bases[np.searchsorted(pids, pid.to_numpy())] + local.to_numpy()
+    def slots(first: int, last: int, records: bool):
+        """Rows of the slots in [first, last), with their records or with what tells of them."""
+
+        def run(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                number = bases[np.searchsorted(pids, batch.column(0).to_numpy())] + batch.column(1).to_numpy()
                 slot = permute(number, max(total, 1), key)
-                raw = ids.to_pylist()
-                crc = pa.array([zlib.crc32(x) for x in raw], pa.int64())
-                record = pa.array([int(k).to_bytes(2, "little") + x for k, x in zip(n.to_pylist(), raw)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(slot), doc, at, n, crc, record], names=["slot", "first_doc", "first_at", "n", "ids_crc32", "record"])
-
-    placed = cut.mapInArrow(slots, "slot long, first_doc long, first_at long, n int, ids_crc32 long, record binary")
-    shards = max(1, -(-total // shard_rows))
-    dealt = placed.select("slot", "record").repartitionById(shards, F.floor(F.col("slot") / shard_rows).cast("int")).sortWithinPartitions("slot")
-    dealt.select(F.col("record").cast("string").alias("value")).write.option("lineSep", TRAILER.decode()).text(path)
-    told = kept.put("to_told", placed.drop("record"))
+                rows = pa.array(np.flatnonzero((slot >= first) & (slot < last)))
+                _, _, doc, at, n, ids = (c.take(rows) for c in batch.columns)
+                slot, raw = pa.array(slot).take(rows), ids.to_pylist()
+                if records:
+                    record = pa.array([int(k).to_bytes(2, "little") + x for k, x in zip(n.to_pylist(), raw)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([slot, record], names=["slot", "record"])
+                else:
+                    crc = pa.array([zlib.crc32(x) for x in raw], pa.int64())
+                    yield pa.RecordBatch.from_arrays([slot, doc, at, n, crc], names=["slot", "first_doc", "first_at", "n", "ids_crc32"])
+
+        return run
+
+    told = kept.put("to_told", cut.mapInArrow(slots(0, total, False), "slot long, first_doc long, first_at long, n int, ids_crc32 long"))
+    shards = -(-total // shard_rows)
+    each = max(1, -(-shards // WAVES))
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, None)
+    spark.conf.set(clean, "true")  # a wave's shuffle files go once its shards are written
+    try:
+        for first in range(0, shards, each):
+            now = min(each, shards - first)
+            rows = cut.mapInArrow(slots(first * shard_rows, (first + now) * shard_rows, True), "slot long, record binary")
+            dealt = rows.repartitionById(now, (F.floor(F.col("slot") / shard_rows) - first).cast("int")).sortWithinPartitions("slot")
+            dealt.select(F.col("record").cast("string").alias("value")).write.option("lineSep", TRAILER.decode()).text(f"{path}/from-{first:09d}")
+    finally:
+        spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
     kept.drop("to_sequence")
     return path, told
 
@@ -146,7 +167,8 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard_rows
     def records(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shard = int(re.match(r"part-(\d+)", PurePosixPath(name).name)[1])
+                where = PurePosixPath(name)
+                shard = int(where.parent.name.removeprefix("from-")) + int(re.match(r"part-(\d+)", where.name)[1])
                 raw = content.as_buffer()
                 rows = len(raw) // size
                 if rows * size != len(raw):
@@ -162,8 +184,14 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard_rows
                         names=["slot", "shard", "position", "n", "ids", "ids_crc32"],
                     )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(records, "slot long, shard long, position long, n int, ids binary, ids_crc32 long")
+    from pyspark.errors import AnalysisException
+
+    schema = "slot long, shard long, position long, n int, ids binary, ids_crc32 long"
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    except AnalysisException:  # no sequence, no shard, no folder
+        return spark.createDataFrame([], schema)
+    return files.mapInArrow(records, schema)
 
 
 def written_and_read(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
