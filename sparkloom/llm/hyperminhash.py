@@ -13,8 +13,9 @@ than five standard errors below the threshold (a chance of 3e-7 at the threshold
 confirmed on their full shingle sets. No bucket's pairs are all emitted. First, each document meets
 the likeliest of its buckets' least members. Then members of buckets that still hold several
 components meet in blocks, across components only: first each with the likeliest of each other
-component, then all that are still apart. So every linked pair of a bucket has been tested or is
-connected already.
+component, then all that are still apart, tile by tile, where each text of a tile is sent once
+however many pairs it's in. So every linked pair of a bucket has been tested or is connected
+already.
 """
 
 from __future__ import annotations
@@ -217,6 +218,63 @@ def _block_pairs(threshold: float, best: bool):
     return run
 
 
+def _tile_lists(threshold: float):
+    """The last round's pairs of a tile as one row: key, i, j and two arrays of ids; nothing if there are none."""
+    pairs = _block_pairs(threshold, False)
+
+    def run(table: pa.Table) -> pa.Table:
+        found = pairs(table)
+        at = {n: table.column(n)[:1] if found.num_rows else table.column(n)[:0] for n in ("key", "i", "j")}
+        lists = {n: pa.array([found.column(n).to_pylist()] if found.num_rows else [], pa.list_(pa.int64())) for n in "ab"}
+        return pa.table(at | lists)
+
+    return run
+
+
+def _confirm_tile(k: int, percent: int):
+    """Confirmed pairs of a tile, without those that earlier ones already connect. Each text comes, and is hashed, once."""
+
+    def run(lists: pa.Table, docs: pa.Table) -> pa.Table:
+        ids = docs.column("id").to_pylist()
+        texts = docs.column("text").combine_chunks()
+        texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+        own: dict[int, np.ndarray] = {}
+        for lo, hi in row_slices(texts):
+            sets, at = text_shingles(texts.slice(lo, hi - lo), k)
+            own |= {ids[lo + n]: sets[at[n] : at[n + 1]] for n in range(hi - lo)}
+        root = {i: i for i in ids}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for many_a, many_b in zip(lists.column("a").to_pylist(), lists.column("b").to_pylist()):
+            for a, b in zip(many_a, many_b):
+                x, y = own[a], own[b]
+                if find(a) == find(b) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    continue
+                spot = np.searchsorted(x, y)
+                spot[spot == len(x)] = 0
+                shared = int((x[spot] == y).sum())
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    root[find(b)] = find(a)
+                    out.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
+def confirm_tiles(docs: DataFrame, lists: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what the tiles' pairs link. lists: key, i, j, a array, b array; a tile holds two blocks' documents at most."""
+    need = lists.select("key", "i", "j", F.explode(F.array_distinct(F.concat("a", "b"))).alias("doc_id"))
+    texts = semi_filter(docs.select("doc_id", "text"), need.select("doc_id").distinct(), "doc_id")
+    held = need.join(texts, "doc_id").select("key", "i", "j", "doc_id", "text").toDF("tile_key", "tile_i", "tile_j", "id", "text")
+    return lists.groupBy("key", "i", "j").cogroup(held.groupBy("tile_key", "tile_i", "tile_j")).applyInArrow(_confirm_tile(k, percent), "a long, b long")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -257,19 +315,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
         left = members.join(several, "key", "left_semi").join(reps, "rep").withColumn("n", F.ceil(F.col("c") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")))
         left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", (F.col("block") <= F.col("other")).alias("first"), "rep", "comp", "sketch")
-        pairs = left.groupBy("key", "i", "j").applyInArrow(_block_pairs(threshold, best), "a long, b long, like double, who long, other long")
+        tiles = left.groupBy("key", "i", "j")
         if best:
+            pairs = tiles.applyInArrow(_block_pairs(threshold, True), "a long, b long, like double, who long, other long")
             pairs = pairs.groupBy("who", "other").agg(F.max_by(F.struct("a", "b"), F.struct("like", -F.col("a"), -F.col("b"))).alias("x")).select("x.*")
-        seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = kept.put("hm_pairs", pairs.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        counts = kept.put("hm_count", pairs.groupBy("a").agg(F.count("*").alias("c")))
-        now = kept.put("hm_now", pairs.join(counts, "a"))
-        more = kept.put("hm_links", confirm(docs, now.select("a", "b", "c"), k, percent))
+            seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = kept.put("hm_pairs", pairs.distinct().join(seen, ["a", "b"], "left_anti"))
+            counts = kept.put("hm_count", pairs.groupBy("a").agg(F.count("*").alias("c")))
+            more = confirm(docs, kept.put("hm_now", pairs.join(counts, "a")), k, percent)
+        else:
+            lists = kept.put("hm_pairs", tiles.applyInArrow(_tile_lists(threshold), "key long, i long, j long, a array<long>, b array<long>"))
+            more = confirm_tiles(docs, lists, k, percent)
+        more = kept.put("hm_links", more)
         if not more.isEmpty():
             comp = kept.put("hm_comp", components(spark, comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more), kept))
-        tested = kept.put("hm_tested", tested.unionByName(now.select("a", "b", "c")))
         kept.drop("hm_label", "hm_member", "hm_several", "hm_pairs", "hm_count", "hm_now")
     final = kept.put("hm_final", classes.join(comp, classes.rep == comp.id, "left").select("s1", "s2", F.coalesce("comp", "rep").alias("component_id")))
     kept.drop("hm_label", "hm_member", "hm_several", "hm_pairs")

@@ -46,6 +46,15 @@ def rows():
         out.append((n, " ".join(chain)))
         chain = chain[3:] + [r.choice(vocab) for _ in range(3)]
         n += 1
+    hub = [r.choice(vocab) for _ in range(120)]  # variants are like the hub, hardly like each other
+    for _ in range(25):
+        own = list(hub)
+        for _ in range(5):
+            own[r.randrange(len(own))] = r.choice(vocab)
+        out.append((n, " ".join(own)))
+        n += 1
+    out.append((n, " ".join(hub)))
+    n += 1
     return out + [(n, None), (n + 1, ""), (n + 2, " \n "), (n + 3, "É é x y z"), (n + 4, "é é x y z"), (n + 5, "long " + "x" * 100000)]
 
 
