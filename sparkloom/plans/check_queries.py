@@ -171,7 +171,10 @@ def call_counts(spark, d):
     return explore.call_counts(e.select(F.col("event_type").alias("fn"), (F.col("value") < 1).alias("failed")))
 
 
-@query("span_pack_files")
+@query("span_pack_files", """WITH s AS (SELECT l_orderkey AS instance, l_suppkey AS path, greatest(CAST(l_quantity AS BIGINT) - 5, 1) AS a, CAST(l_quantity AS BIGINT) + 8 AS b FROM lineitem),
+m AS (SELECT *, max(b) OVER (PARTITION BY instance, path ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s),
+i AS (SELECT *, sum(CASE WHEN a <= p + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY instance, path ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM m)
+SELECT instance, path, min(a) AS "start", max(b) AS "end", count(*) AS n FROM i GROUP BY instance, path, g""")
 def span_pack_files(spark, d):
     """Line ranges of each order's lines, merged and counted: what a snippet context packs."""
     q = F.col("l_quantity").cast("long")
