@@ -73,7 +73,16 @@ def patched_files(patch: Column) -> Column:
 def added_lines(patch: Column, least: int = 1) -> Column:
     """A diff's added lines, stripped, of ``least`` characters or more, once each; file headers are none."""
     lines = F.filter(F.split(patch, "\n"), lambda x: x.startswith("+") & ~x.startswith("+++"))
-    cut = F.transform(lines, lambda x: F.regexp_replace(F.substring(x, 2, 1 << 30), r"^\s+|\s+$", ""))
+    return _stripped(F.transform(lines, lambda x: F.substring(x, 2, 1 << 30)), least)
+
+
+def stripped_lines(text: Column, least: int = 1) -> Column:
+    """A text's whole lines, stripped, of ``least`` characters or more, once each."""
+    return _stripped(F.split(text, "\n"), least)
+
+
+def _stripped(lines: Column, least: int) -> Column:
+    cut = F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     return F.array_distinct(F.filter(cut, lambda x: F.length(x) >= least))
 
 

@@ -91,8 +91,13 @@ def stage_totals(stages: DataFrame) -> DataFrame:
 
 
 def leaks(added: DataFrame, texts: DataFrame) -> DataFrame:
-    """instance, line, n_texts: gold lines (instance, line) that occur in the instance's texts (instance, text)."""
-    return added.join(texts, "instance").where(F.contains(F.col("text"), F.col("line"))).groupBy("instance", "line").agg(F.count("*").alias("n_texts"))
+    """instance, line, n_texts: gold lines (instance, line) that occur in the instance's texts (instance, text).
+
+    Texts without the column instance are searched for the lines of all instances; the lines are broadcast then.
+    """
+    found = F.contains(F.col("text"), F.col("line"))
+    pairs = added.join(texts, "instance").where(found) if "instance" in texts.columns else texts.join(F.broadcast(added), found)
+    return pairs.groupBy("instance", "line").agg(F.count("*").alias("n_texts"))
 
 
 def keep_last(rows: DataFrame, key: str, order: str, *needed: str) -> DataFrame:

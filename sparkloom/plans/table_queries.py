@@ -266,6 +266,13 @@ def leak_audit(spark, d):
     return docs.join(F.broadcast(lines), F.contains(F.col("text"), F.col("line"))).groupBy("line").agg(F.count("*").alias("n_texts"))
 
 
+@query("leak_audit_lines", r"WITH l AS (SELECT DISTINCT item_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 8)) AS line FROM benchmark) SELECT l.item_id, l.line, count(*) AS n_texts FROM l JOIN documents d ON contains(d.text, l.line) GROUP BY ALL")
+def leak_audit_lines(spark, d):
+    """All lines of the benchmark's items, whole; leak_audit looks for the first 60 characters of each item only."""
+    lines = read(spark, d, "benchmark").select(F.col("item_id").alias("instance"), F.explode(T.stripped_lines(F.col("text"), 8)).alias("line"))
+    return E.leaks(lines, read(spark, d, "documents").select("text")).withColumnRenamed("instance", "item_id")
+
+
 @query("page_titles", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS links FROM pages")
 def page_titles(spark, d):
     p = read(spark, d, "pages")
