@@ -4,18 +4,22 @@ A host whose pages the rules mostly allow is a trusted seed, one whose pages the
 blocked seed, weighted by those pages. Trust is the personalised PageRank of the trusted seeds along
 links; distrust is that of the blocked seeds against the links, so it reaches those who link to bad
 hosts. Both run as one table per step (partial sums before each shuffle), written to the shared
-folder, until the largest change is below TOLERANCE. A host is blocked if its distrust, as a
-multiple of the mean host's share, exceeds its trust by MARGIN.
+folder, until distrust less trust of any host, as a multiple of the mean host's share, is within
+TOLERANCE of its limit. A host is blocked if its distrust, so measured, exceeds its trust by MARGIN.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Stored
 
-DAMPING, STEPS, TOLERANCE, MARGIN = 0.85, 30, 1e-6, 0.05
+DAMPING, MARGIN = 0.85, 0.05
+#: In the verdict's units: a share times the number of hosts.
+TOLERANCE = MARGIN / 100
 MAX_RULES = 1000
 #: (verdict, host, path): fixed values of the query.
 RULES = [
@@ -55,9 +59,22 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(kept: Stored, links: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
+def host_count(links: DataFrame, seeds: DataFrame) -> int:
+    return seeds.select("host").unionByName(links.select(F.col("src").alias("host"))).unionByName(links.select(F.col("dst").alias("host"))).distinct().count()
+
+
+def steps_needed(hosts: int, damping: float = DAMPING) -> int:
+    """Steps after which the rest is surely within TOLERANCE: the first change of both kinds sums to 4 at most, and each step shrinks it by damping."""
+    return 2 + math.ceil(math.log(max(1.0, 4 * hosts * damping / (1 - damping) / TOLERANCE)) / -math.log(damping))
+
+
+def propagate(kept: Stored, links: DataFrame, seeds: DataFrame, steps: int | None = None, damping: float = DAMPING, hosts: int | None = None) -> DataFrame:
     """host, trust, distrust: both personalised PageRanks, each summing to 1 where it has a seed and links lose nothing.
 
+    It ends when what all further steps can add to a host (the summed change, times damping / (1 -
+    damping), times hosts) is below TOLERANCE, and raises if ``steps`` come first. By default there
+    are as many as that needs, whatever the links. hosts: their number, counted if not given.
+
     links: src, dst, weight; seeds: host, trusted, blocked (weights). What a host without outgoing
     links holds goes back to the seeds with what damping takes.
     """
@@ -70,21 +87,29 @@ def propagate(kept: Stored, links: DataFrame, seeds: DataFrame, steps: int = STE
     totals = long.groupBy("kind").agg(F.sum("seed").alias("all"))
     start = kept.put("uf_seed", long.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("seed") / F.col("all")).alias("seed")))
     rank = start.withColumnRenamed("seed", "rank")
-    for _ in range(steps if both.limit(1).count() else 0):
+    linked = not both.isEmpty()
+    if linked and hosts is None:
+        hosts = host_count(links, seeds)
+    if linked and steps is None:
+        steps = steps_needed(hosts, damping)
+    for _ in range(steps if linked else 0):
         moved = both.join(rank, (both["kind"] == rank["kind"]) & (both["from"] == rank["host"])).select(both["kind"], F.col("to").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
         arrived = kept.put("uf_moved", moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
         given = arrived.groupBy("kind").agg(F.sum("rank").alias("given"))
         back = start.join(F.broadcast(given), "kind", "left").select("kind", "host", (F.col("seed") * (1 - F.coalesce("given", F.lit(0.0)))).alias("rank"))
         new = kept.put("uf_rank", arrived.unionByName(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
-        change = new.alias("n").join(rank.alias("o"), ["kind", "host"], "left").agg(F.max(F.abs(F.col("n.rank") - F.coalesce("o.rank", F.lit(0.0))))).first()[0]
+        change = new.alias("n").join(rank.alias("o"), ["kind", "host"], "left").agg(F.sum(F.abs(F.col("n.rank") - F.coalesce("o.rank", F.lit(0.0))))).first()[0]
         kept.drop("uf_moved")
         for path in kept.paths["uf_rank"][:-2]:
             kept.paths["uf_rank"].remove(path)
             kept.paths.setdefault("uf_old", []).append(path)
         kept.drop("uf_old")
         rank = new
-        if change is None or change < TOLERANCE:
+        if change is None or change * damping / (1 - damping) * hosts < TOLERANCE:
             break
+    else:
+        if linked:
+            raise RuntimeError(f"shares of {hosts} hosts did not settle in {steps} steps")
     kept.drop("uf_out", "uf_edges")
     value = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     return rank.groupBy("host").agg(value("trust"), value("distrust"))
@@ -104,9 +129,9 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
     counts = told.where("host <> ''").groupBy("host").agg(F.count_if(F.col("told") == "allow").alias("a"), F.count_if(F.col("told") == "block").alias("b"), F.count("*").alias("n"))
     counts = kept.put("uf_host", counts)
     seeds = counts.select("host", F.when(2 * F.col("a") > F.col("n"), F.col("a")).otherwise(0).cast("double").alias("trusted"), F.when(2 * F.col("b") > F.col("n"), F.col("b")).otherwise(0).cast("double").alias("blocked"))
-    ranks = kept.put("uf_ranks", propagate(kept, links, seeds))
-    hosts = counts.select("host").unionByName(links.select(F.col("src").alias("host"))).unionByName(links.select(F.col("dst").alias("host"))).distinct().agg(F.count("*").alias("hosts"))
-    scores = ranks.join(F.broadcast(hosts)).select("host", (F.col("trust") * F.col("hosts")).alias("trust"), (F.col("distrust") * F.col("hosts")).alias("distrust"))
+    hosts = host_count(links, seeds)
+    ranks = kept.put("uf_ranks", propagate(kept, links, seeds, hosts=hosts))
+    scores = ranks.select("host", (F.col("trust") * F.lit(hosts)).alias("trust"), (F.col("distrust") * F.lit(hosts)).alias("distrust"))
     scores = kept.put("uf_score", scores.withColumn("bad", F.col("distrust") > F.col("trust") + margin))
     kept.drop("uf_rank", "uf_seed", "uf_link", "uf_ranks", "uf_host")
     verdict = F.coalesce("told", F.when(F.coalesce("bad", F.lit(False)), F.lit("block")).otherwise(F.lit("allow")))

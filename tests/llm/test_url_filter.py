@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 
 from sparkloom.llm import url_filter as uf
 from sparkloom.llm.common import Stored
@@ -57,3 +58,24 @@ def test_propagation_equals_dense_pagerank(spark):
             x = y + (1 - y.sum()) * s
         for i in range(n):
             assert abs(got.get(f"h{i}", (0, 0))[k] - x[i]) < 1e-4
+
+
+def test_distrust_reaches_as_far_as_it_counts(spark):
+    far = [(0, "http://h0.org/es/", None)] + [(k, f"http://h{k}.test/", f'<a href="http://h{k - 1}.{"test" if k > 1 else "org"}/">') for k in range(1, 41)]
+    rest = [(1000 + k, f"http://n{k}.test/", None) for k in range(80)]
+    got = {x.page_id: x for x in uf.judge_urls(spark, spark.createDataFrame(far + rest, "page_id long, url string, html string")).collect()}
+    first = (1 - uf.DAMPING) / (1 - uf.DAMPING**41) * len(got)
+    for k in range(1, 41):
+        assert abs(got[k].distrust - first * uf.DAMPING**k) < uf.TOLERANCE
+        assert got[k].verdict == ("block" if first * uf.DAMPING**k > uf.MARGIN else "allow")
+    assert got[34].verdict == "block"
+
+
+def test_small_shares_of_many_hosts_settle(spark):
+    links = spark.createDataFrame([("a", "seed", 1.0), ("b", "a", 1.0), ("c", "b", 1.0)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("seed", 0.0, 1.0), ("others", 0.0, 1e7 - 1)], "host string, trusted double, blocked double")
+    got = {x.host: x.distrust * 1e7 for x in uf.propagate(Stored(spark), links, seeds, hosts=10**7).collect()}
+    for k, host in enumerate(("seed", "a", "b", "c")):
+        assert abs(got[host] - uf.DAMPING**k) < uf.TOLERANCE
+    with pytest.raises(RuntimeError):
+        uf.propagate(Stored(spark), links, seeds, steps=2, hosts=10**7)
