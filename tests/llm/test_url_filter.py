@@ -79,3 +79,12 @@ def test_small_shares_of_many_hosts_settle(spark):
         assert abs(got[host] - uf.DAMPING**k) < uf.TOLERANCE
     with pytest.raises(RuntimeError):
         uf.propagate(Stored(spark), links, seeds, steps=2, hosts=10**7)
+
+
+def test_links_without_a_scheme(spark):
+    html = """<a href="//B.org/x?u=http://no.org/"> <a href='//c.org'> <a href=//d.org/> <a href="HTTPS://e.org?q=//no.org"> <a href="http:/no.org"> <a href="/r//no.org/"> <a href="x//no.org"> <a href="//a.org/own"> <a href="//">"""
+    links = uf.host_links(spark.createDataFrame([(1, "http://a.org/", html)], "page_id long, url string, html string"))
+    assert sorted(map(tuple, links.collect())) == [("a.org", f"{x}.org", 1.0) for x in "bcde"]
+    pages = [(1, "http://x.test/", '<a href="//bad.org/">'), (2, "http://bad.org/es/", None)]
+    got = {x.page_id: x.verdict for x in uf.judge_urls(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block"}
