@@ -3,7 +3,8 @@
 Every record is a gzip member of its own. The reader checks each member's CRC and each record's
 version line, header, length, end and block digest. Where a check fails it looks for the next gzip
 magic or version line at which a whole record passes again, gives the bytes between as a gap, and
-goes on from there.
+goes on from there. In a member of several records it does so over the decompressed bytes, as far as
+they come: whole records are given, and what lies between them is a gap inside the member.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ REVISIT_BYTES = 1000
 #: An empty gzip member (fixed bytes), which stands between members since Spark's text writer wants a separator.
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
-_MARK = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_LINE = rb"WARC/1\.[01]\r\n"
+_MARK, _VERSION_LINE = re.compile(rb"\x1f\x8b\x08|" + _LINE), re.compile(_LINE)
 #: Fields that a record has once.
 _SINGLE = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -79,6 +81,7 @@ class Record:
     end: int
     fields: dict[str, str]
     block: bytes
+    reason: str | None = None  #: what is wrong with the gzip member that the record was saved from
 
 
 @dataclass
@@ -86,6 +89,7 @@ class Gap:
     start: int
     end: int
     reason: str
+    inner: tuple[int, int] | None = None  #: where it is in the decompressed bytes of the member from start to end
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -127,28 +131,92 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, end + 4
 
 
-def read_at(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """Records of the member or the plain record at ``at``, and where it ends. Raises Damaged."""
-    if data.startswith(MAGIC, at):
-        unpacker = zlib.decompressobj(31)
-        parts, pos = [], at
+def _up_to_error(unpacker, chunk: bytes, parts: list[bytes]) -> None:
+    """Appends to parts what comes before the error that is known to be in chunk."""
+    n = 0
+    for step in (4096, 256, 16, 1):
+        while n < len(chunk):
+            before = unpacker.copy()
+            try:
+                parts.append(unpacker.decompress(chunk[n : n + step]))
+            except zlib.error:
+                unpacker = before
+                break
+            n += step
+    try:
+        tail = chunk[n : n + 1]
+        while got := unpacker.decompress(tail, 1):
+            parts.append(got)
+            tail = unpacker.unconsumed_tail
+    except zlib.error:
+        pass
+
+
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The decompressed bytes of the gzip member at ``at`` as far as they come, where it ends, and what is wrong with it or ''."""
+    unpacker, parts, pos = zlib.decompressobj(31), [], at
+    while not unpacker.eof and pos < len(data):
+        chunk, before = data[pos : pos + (1 << 16)], unpacker.copy()
         try:
-            while not unpacker.eof and pos < len(data):
-                chunk = data[pos : pos + (1 << 16)]
-                parts.append(unpacker.decompress(chunk))
-                pos += len(chunk)
-        except zlib.error as e:
-            raise Damaged("gzip member fails") from e
-        if not unpacker.eof:
-            raise Damaged("gzip member is cut off")
-        pos -= len(unpacker.unused_data)
-        plain, found, k = b"".join(parts), [], 0
-        while k < len(plain):
-            fields, block, k = parse_record(plain, k)
-            found.append((fields, block))
-        return found, pos
-    fields, block, end = parse_record(data, at)
-    return [(fields, block)], end
+            parts.append(unpacker.decompress(chunk))
+        except zlib.error:
+            _up_to_error(before, chunk, parts)
+            return b"".join(parts), pos, "gzip member fails"
+        pos += len(chunk)
+    return b"".join(parts), pos - len(unpacker.unused_data), "" if unpacker.eof else "gzip member is cut off"
+
+
+def packed_end(data: bytes, at: int, size: int) -> int:
+    """Where the bytes of the member at ``at`` end that give its first ``size`` decompressed ones."""
+    unpacker, pos, left = zlib.decompressobj(31), at, size - 1
+    while left > 0 and pos < len(data):
+        chunk = data[pos : pos + (1 << 16)]
+        left -= len(unpacker.decompress(chunk, left))
+        pos += len(chunk) - len(unpacker.unconsumed_tail)
+    # The last byte apart, with as little input as it needs: behind it the member may fail.
+    tail = b""
+    while size > 0 and not unpacker.decompress(tail, 1) and pos < len(data):
+        tail = data[pos : pos + 1]
+        pos += 1
+    return pos
+
+
+def read_at(data: bytes, at: int) -> tuple[list[Record | Gap], int, str]:
+    """Records and inner gaps of the member or the plain record at ``at``, where they end, and what is wrong after that or ''.
+
+    Raises Damaged if there is no whole record. Records of a member whose end is missing or whose
+    CRC fails have a reason: their own checks passed, the member's did not.
+    """
+    if not data.startswith(MAGIC, at):
+        fields, block, end = parse_record(data, at)
+        return [Record(at, end, fields, block)], end, ""
+    plain, end, why = inflate(data, at)
+    found: list[Record | Gap] = []
+    k, lost, reason, whole = 0, None, "", 0
+    while k < len(plain):
+        try:
+            fields, block, after = parse_record(plain, k)
+        except Damaged as e:
+            if lost is None:
+                lost, reason = k, str(e)
+            mark = _VERSION_LINE.search(plain, k + 1)
+            k = mark.start() if mark else len(plain)
+            continue
+        if lost is not None:
+            found.append(Gap(at, end, reason, (lost, k)))
+            lost = None
+        found.append(Record(at, end, fields, block, why or None))
+        k = whole = after
+    if not whole and (why or plain):
+        raise Damaged(why or reason)
+    if why:
+        # The rest may hold the starts of other members, so it is searched from the last whole record on.
+        end = packed_end(data, at, whole)
+        for x in found:
+            x.end = end
+    elif lost is not None:
+        found.append(Gap(at, end, reason, (lost, len(plain))))
+    return found, end, why
 
 
 def read_archive(data: bytes) -> Iterator[Record | Gap]:
@@ -156,7 +224,7 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
     at, lost, reason = 0, None, ""
     while at < len(data):
         try:
-            found, end = read_at(data, at)
+            found, end, why = read_at(data, at)
         except Damaged as e:
             if lost is None:
                 lost, reason = at, str(e)
@@ -166,9 +234,14 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
         if lost is not None:
             yield Gap(lost, at, reason)
             lost = None
-        for fields, block in found:
-            yield Record(at, end, fields, block)
+        yield from found
         at = end
+        if why:
+            lost, reason = at, why
+            mark = _MARK.search(data, at)
+            at = mark.start() if mark else len(data)
+            if at == lost:
+                lost = None
     if lost is not None:
         yield Gap(lost, len(data), reason)
 
@@ -187,7 +260,7 @@ def write_archives(records: DataFrame, path: str) -> None:
 
 
 READ_SCHEMA = """kind string, file string, start long, end long, reason string, page_id long, record_type string, url string,
-payload_bytes long, payload_digest string, refers_to long, payload binary"""
+payload_bytes long, payload_digest string, refers_to long, payload binary, inner_start long, inner_end long"""
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -195,13 +268,15 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     payload_digest is the lower-case hex of the whole payload's SHA-1: computed for a response, told
     by the header for a revisit. A response whose payload differs from the header's is damaged, and
-    so a gap. Empty files give no rows.
+    so a gap. A gap inside a gzip member has the member's start and end, and its place in the
+    decompressed bytes as inner_start and inner_end. A record saved from a failing member has the
+    member's fault as its reason. Empty files give no rows.
     """
     names = [x.split()[0] for x in READ_SCHEMA.replace("\n", " ").split(",")]
 
     def parsed(name: str, item: Record | Gap) -> tuple:
         if isinstance(item, Gap):
-            return ("gap", name, item.start, item.end, item.reason, *[None] * 7)
+            return ("gap", name, item.start, item.end, item.reason, *[None] * 7, *(item.inner or (None, None)))
         f, kind = item.fields, item.fields.get("warc-type")
         head, _, payload = item.block.partition(b"\r\n\r\n") if f.get("content-type", "").startswith("application/http") else (b"", b"", item.block)
         told = f.get("warc-payload-digest", "")[5:]
@@ -211,10 +286,10 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         else:
             size, digest = len(payload), hashlib.sha1(payload).hexdigest()
             if told and base64.b32decode(told).hex() != digest:
-                return ("gap", name, item.start, item.end, "payload digest differs", *[None] * 7)
-        return ("record", name, item.start, item.end, None, page, kind, f.get("warc-target-uri"), size, digest, refers, payload if payloads else None)
+                return ("gap", name, item.start, item.end, "payload digest differs", *[None] * 9)
+        return ("record", name, item.start, item.end, item.reason, page, kind, f.get("warc-target-uri"), size, digest, refers, payload if payloads else None, None, None)
 
-    schema = pa.schema([(n, {"payload": pa.binary()}.get(n, pa.int64() if n in ("start", "end", "page_id", "payload_bytes", "refers_to") else pa.string())) for n in names])
+    schema = pa.schema([(n, {"payload": pa.binary()}.get(n, pa.int64() if n in ("start", "end", "page_id", "payload_bytes", "refers_to", "inner_start", "inner_end") else pa.string())) for n in names])
 
     def run(batches):
         for batch in batches:

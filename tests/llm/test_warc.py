@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import pytest
 
@@ -76,3 +77,44 @@ def test_damaged_file_in_spark(spark, tmp_path):
     assert sorted(x.page_id for x in rows if x.kind == "record") == [0, 1, 2, 3, 5, 6, 7, 8, 9]
     gap = [x for x in rows if x.kind == "gap"]
     assert len(gap) == 1 and gap[0].start == sum(map(len, parts[:4])) and gap[0].reason
+
+
+def ids(found):
+    return [int(x.fields["x-page-id"]) for x in found if isinstance(x, warc.Record)]
+
+
+def test_bad_record_in_a_member_of_several():
+    raw = archive(12, plain=True)
+    for hit in (0, 5, 11):
+        bad = raw[hit][:30] + b"\0" + raw[hit][31:-9] + b"!" + raw[hit][-8:]
+        before = sum(map(len, raw[:hit]))
+        data = warc.member(b"".join(raw[:hit] + [bad] + raw[hit + 1 :]))
+        found = list(warc.read_archive(data + warc.member(warc.record(99, "u", b"x", None))))
+        assert ids(found) == [i for i in range(12) if i != hit] + [99]
+        gap = [x for x in found if isinstance(x, warc.Gap)]
+        assert [(x.start, x.end, x.inner) for x in gap] == [(0, len(data), (before, before + len(bad)))] and gap[0].reason
+
+
+def test_member_of_several_with_a_bad_end():
+    raw, after = archive(12, plain=True), warc.member(warc.record(99, "u", b"x", None))
+    data = warc.member(b"".join(raw))
+    crc = data[:-8] + bytes([data[-8] ^ 1]) + data[-7:]
+    found = list(warc.read_archive(crc + after))
+    assert ids(found) == [*range(12), 99] and found[0].reason and found[-1].reason is None
+    cut = data[: len(data) * 2 // 3]
+    whole = zlib.decompressobj(31).decompress(cut)
+    n = max(i for i in range(13) if sum(map(len, raw[:i])) <= len(whole))
+    assert 0 < n < 12
+    for tail in (b"", after, warc.record(99, "u", b"x", None)):
+        found = list(warc.read_archive(cut + tail))
+        assert ids(found) == [*range(n)] + [99] * bool(tail)
+        gap = [x for x in found if isinstance(x, warc.Gap)]
+        assert [x.end for x in gap] == [len(cut)] and gap[0].start == found[0].end and gap[0].inner is None
+
+
+def test_inner_gap_in_spark(spark, tmp_path):
+    raw = archive(3, plain=True)
+    (tmp_path / "part-0.warc.gz").write_bytes(warc.member(raw[0] + b"x" * 40 + raw[2]))
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert [(x.kind, x.page_id) for x in rows] == [("record", 0), ("gap", None), ("record", 2)]
+    assert (rows[1].inner_start, rows[1].inner_end) == (len(raw[0]), len(raw[0]) + 40)
