@@ -7,7 +7,8 @@ products are exact in float32 (64 * 127**2 < 2**24; longer vectors use float64).
 lies wholly below the threshold go, pairs wholly above it are links, and the rest are computed from
 the original components in double precision.
 
-Equal vectors form a class of which one is compared. A label's classes are dealt by hash to blocks
+Equal vectors of a label form a class of which one is compared; classes have numbers of their own,
+since a vec_id may occur with several vectors. A label's classes are dealt by hash to blocks
 of about BLOCK, and each two blocks meet in a task of their own, so no label is gathered anywhere.
 A tile gives each vector's number of links and edges that connect what it links (at most one for
 each vector), never its pairs.
@@ -107,23 +108,24 @@ def _rows(batches):
 def _tile(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        rep, size, block, first = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "block", "first"))
-        order = np.argsort(rep, kind="stable")
-        v = np.frombuffer(b"".join(table.column("raw").to_pylist()), "<f8").reshape(len(rep), -1)[order]
-        rep, size, block, first = rep[order], size[order], block[order], first[order]
-        if (block == block[0]).all():
+        cls, size, first = (table.column(c).to_numpy(zero_copy_only=False) for c in ("cls", "n", "first"))
+        order = np.argsort(cls, kind="stable")
+        v = np.frombuffer(b"".join(table.column("raw").to_pylist()), "<f8").reshape(len(cls), -1)[order]
+        cls, size, first = cls[order], size[order], first[order]
+        # Not told by the blocks alone: of a tile of two, one may be empty.
+        if table.column("i")[0] == table.column("j")[0]:
             mask, _ = links(v, v, threshold)
             np.fill_diagonal(mask, False)
             mask |= mask.T
-            left = right = np.arange(len(rep))
+            left = right = np.arange(len(cls))
             counts = mask @ size.astype(np.float64)
-            ids = rep
+            ids = cls
         else:
             left, right = np.flatnonzero(first), np.flatnonzero(~first)
             mask, _ = links(v[left], v[right], threshold)
-            ids = np.concatenate([rep[left], rep[right]])
+            ids = np.concatenate([cls[left], cls[right]])
             counts = np.concatenate([mask @ size[right].astype(np.float64), size[left].astype(np.float64) @ mask])
-        a, b = spanning(mask, rep[left], rep[right])
+        a, b = spanning(mask, cls[left], cls[right])
         some = counts > 0
         n = counts[some].astype(np.int64)
         return pa.table({"a": pa.array(np.concatenate([ids[some], a])), "b": pa.array(np.concatenate([ids[some], b])), "links": pa.array(np.concatenate([n, np.zeros(len(a), np.int64)]))})
@@ -145,18 +147,21 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9
     schema = f"vec_id long, label {read.schema['label'].dataType.simpleString()}, dim int, key binary, raw binary"
     rows = kept.put("qp_rows", read.mapInArrow(_rows, schema))
     usable = rows.where("vec_id is not null and key is not null")
-    classes = kept.put("qp_class", usable.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    classes = kept.put("qp_class", usable.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()))
     sizes = kept.put("qp_size", classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).alias("blocks")))
-    held = usable.select(F.col("vec_id").alias("rep"), "label", "dim", "key", "raw").join(classes, ["label", "dim", "key", "rep"]).dropDuplicates(["rep"])
-    dealt = kept.put("qp_dealt", held.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).drop("key"))
+    held = usable.select(F.col("vec_id").alias("rep"), "label", "dim", "key", "raw").join(classes, ["label", "dim", "key", "rep"]).dropDuplicates(["cls"])
+    dealt = kept.put("qp_dealt", held.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).drop("key", "rep"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.select("label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", (F.col("block") <= F.col("other")).alias("first"), "rep", "n", "raw")
+    tiles = tiles.select("label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("first"), "cls", "n", "raw")
     found = kept.put("qp_found", tiles.groupBy("label", "dim", "i", "j").applyInArrow(_tile(threshold), "a long, b long, links long"))
     comp = components(spark, found.where("a <> b").select("a", "b"), kept)
-    counts = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    final = classes.join(counts, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    final = kept.put("qp_final", final.select("label", "dim", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("component_id")))
-    kept.drop("qp_size", "qp_dealt", "qp_found", "qp_class", "components")
+    counts = found.where("links > 0").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    # A component's name is the least vec_id of its classes. Both sides of the join by component are stored, so a large one is split.
+    member = kept.put("qp_member", comp.withColumnRenamed("id", "cls").join(classes.select("cls", "rep"), "cls"))
+    least = kept.put("qp_least", member.groupBy("comp").agg(F.min("rep").alias("least")))
+    final = classes.join(counts, "cls", "left").join(member.select("cls", "comp").join(least, "comp").drop("comp"), "cls", "left")
+    final = kept.put("qp_final", final.select("label", "dim", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id")))
+    kept.drop("qp_size", "qp_dealt", "qp_found", "qp_class", "qp_member", "qp_least", "components")
     joined = rows.drop("raw").where("vec_id is not null and key is not null").join(final, ["label", "dim", "key"]).select("vec_id", "n_links", "component_id")
     alone = rows.drop("raw").where("vec_id is null or key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

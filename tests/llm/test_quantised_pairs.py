@@ -63,6 +63,17 @@ def test_same_as_brute_force(spark):
         assert all(x.kept == (x.vec_id is None or x.vec_id == x.component_id) for x in out)
 
 
+def test_vec_ids_with_several_vectors(spark):
+    r = np.random.default_rng(3)
+    a, b, c = (r.normal(size=16).astype(np.float32).tolist() for _ in range(3))
+    near = [x * 1.001 + 0.001 for x in b]
+    rows = [(1, a, 0), (1, b, 0), (1, b, 1), (2, a, 0), (3, near, 0), (4, near, 1), (5, c, 0), (5, c, 0), (5, near, 2), (6, b, 2), (0, c, 1)]
+    df = spark.createDataFrame([(i, v, label, "x", 3) for i, v, label in rows], SCHEMA)
+    for block in (2048, 2):
+        out = near_vectors(spark, df, block=block).collect()
+        assert sorted((str(x.vec_id), x.n_links, str(x.component_id)) for x in out) == brute(rows)
+
+
 def test_empty(spark):
     assert near_vectors(spark, spark.createDataFrame([], SCHEMA)).count() == 0
 
