@@ -12,15 +12,15 @@ from . import graph as G
 
 
 def registry(graph: G.PropertyGraph) -> dict[str, Callable]:
-    """Tool name -> callable with keyword arguments; each returns a list of dicts, at most one page of a graph."""
+    """Tool name -> callable with keyword arguments; each returns a list of dicts, whole and in a fixed order unless the call itself sets a limit."""
     spark = graph.nodes.sparkSession
     one = lambda column, value: spark.createDataFrame([(value,)], f"{column} string")
-    rows = lambda df: [r.asDict(recursive=True) for r in df.limit(1000).collect()]
+    rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     return {
         "get_element": lambda id, include=(): rows(G.get_element(graph, id, tuple(include))),
-        "search_elements": lambda **kw: rows(G.search_elements(graph, **{"limit": 20} | kw)),
-        "get_neighbors": lambda id, direction="both", edge_label=None: rows(G.get_neighbors(graph, one("center", id), direction, edge_label)),
-        "traverse": lambda start_id, max_depth=3, pattern=None, limit_paths=20: rows(G.traverse(graph, one("start", start_id), max_depth, pattern, limit_paths)),
+        "search_elements": lambda **kw: rows(G.search_elements(graph, **kw)),
+        "get_neighbors": lambda id, direction="both", edge_label=None: rows(G.get_neighbors(graph, one("center", id), direction, edge_label).orderBy("id")),
+        "traverse": lambda start_id, max_depth=3, pattern=None, limit_paths=None: rows(G.traverse(graph, one("start", start_id), max_depth, pattern, limit_paths).orderBy("node_ids", "edge_ids")),
         "find_connected": lambda id, type, edge_label=None, direction="in", max_depth=20: rows(G.find_connected(graph, one("start", id), type, edge_label, direction, max_depth)),
     }
 
