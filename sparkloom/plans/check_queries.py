@@ -157,9 +157,10 @@ def set_cover(spark, d):
     return repair.covers(rows.select(F.col("l_orderkey").cast("string").alias("instance"), F.col("l_suppkey").cast("string").alias("set_id"), F.col("l_partkey").alias("element"), (F.col("s_acctbal") + 2000).alias("cost")))
 
 
-@query("node_cover_pool", """WITH p AS (SELECT l_orderkey AS k, l_linenumber AS id, CAST(l_quantity AS BIGINT) AS a, CAST(l_quantity AS BIGINT) + l_linenumber AS b FROM lineitem)
+@query("short_span_totals", """WITH p AS (SELECT l_orderkey AS k, l_linenumber AS id, CAST(l_quantity AS BIGINT) AS a, CAST(l_quantity AS BIGINT) + l_linenumber AS b FROM lineitem)
 SELECT k, count(*) AS nodes, CAST(sum(b - a + 1) AS BIGINT) AS lines FROM p WHERE a <= 10 GROUP BY k""")
-def node_cover_pool(spark, d):
+def short_span_totals(spark, d):
+    """Spans and their lines by order, of those that start at line 10 or before."""
     q = F.col("l_quantity").cast("long")
     p = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), q.alias("a"), (q + F.col("l_linenumber")).alias("b"))
     return p.where("a <= 10").groupBy("k").agg(F.count("*").alias("nodes"), F.sum(F.col("b") - F.col("a") + 1).alias("lines"))
@@ -171,12 +172,12 @@ def call_counts(spark, d):
     return explore.call_counts(e.select(F.col("event_type").alias("fn"), (F.col("value") < 1).alias("failed")))
 
 
-@query("span_pack_files", """WITH s AS (SELECT l_orderkey AS instance, l_suppkey AS path, greatest(CAST(l_quantity AS BIGINT) - 5, 1) AS a, CAST(l_quantity AS BIGINT) + 8 AS b FROM lineitem),
+@query("merged_line_ranges", """WITH s AS (SELECT l_orderkey AS instance, l_suppkey AS path, greatest(CAST(l_quantity AS BIGINT) - 5, 1) AS a, CAST(l_quantity AS BIGINT) + 8 AS b FROM lineitem),
 m AS (SELECT *, max(b) OVER (PARTITION BY instance, path ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s),
 i AS (SELECT *, sum(CASE WHEN a <= p + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY instance, path ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM m)
 SELECT instance, path, min(a) AS "start", max(b) AS "end", count(*) AS n FROM i GROUP BY instance, path, g""")
-def span_pack_files(spark, d):
-    """Line ranges of each order's lines, merged and counted: what a snippet context packs."""
+def merged_line_ranges(spark, d):
+    """Line ranges of each order's lines, widened by 5, merged and counted. Nothing is packed here."""
     q = F.col("l_quantity").cast("long")
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("instance"), F.col("l_suppkey").alias("path"), q.alias("start"), (q + 3).alias("end"))
     return S.merge_intervals(rows, ["instance", "path"], 5)
