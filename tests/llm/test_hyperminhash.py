@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from sparkloom.llm import hyperminhash as hm
 from sparkloom.llm.hyperminhash import near_duplicates
 
 
@@ -72,3 +73,38 @@ def test_empty_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c D e f")], "doc_id long, text string")
     got = sorted(map(tuple, near_duplicates(spark, df, 2).collect()), key=str)
     assert got == sorted([(1, 5, 1, True), (1, 5, 1, True), (2, 5, 1, False), (None, 5, None, True)], key=str)
+
+
+def family(n, length, edits, seed):
+    """Near copies of one text: some are alike enough, most are candidates only."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(length)]
+    out = [(0, " ".join(base))]
+    for i in range(1, n):
+        own = list(base)
+        for _ in range(r.choice(edits)):
+            own[r.randrange(length)] = f"e{r.randrange(10**6)}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+@pytest.mark.parametrize("length,edits", [(40, [3]), (60, [2, 4, 6])])
+def test_bucket_of_many_blocks(spark, length, edits):
+    data = family(420, length, edits, length)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {tuple(r) for r in near_duplicates(spark, df, 2, block=50, group=16).select("doc_id", "n_shingles", "component_id", "kept").collect()}
+    assert got == brute(data, 2)
+
+
+def test_confirmed_pairs_grow_with_members(spark, monkeypatch):
+    """A round confirms one pair a member at most, however many of a group are candidates."""
+    sizes = []
+    real = hm.confirm
+
+    def counted(docs, pairs, *rest):
+        sizes.append(pairs.count())
+        return real(docs, pairs, *rest)
+
+    monkeypatch.setattr(hm, "confirm", counted)
+    near_duplicates(spark, spark.createDataFrame(family(300, 40, [3], 1), "doc_id long, text string"), 2, block=100).count()
+    assert sizes and all(s <= 300 for s in sizes)
