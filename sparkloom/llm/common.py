@@ -6,6 +6,7 @@ reread them after another one is lost, and so that lineage ends there.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,15 @@ from pyspark.sql import functions as F
 
 #: Most ids (8 bytes each) that semi_filter sends to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of whole texts that go to a Python worker at a time, where the session has Spark's own setting (64 MB).
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, for texts of any length; a value set by the session's owner stays."""
+    if spark.conf.get(_BATCH) in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or else the context's checkpoint folder.
+
+    With neither, a local session gets a temporary folder; any other one raises, since its executors
+    would write to disks of their own.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        kept = spark.sparkContext.getCheckpointDir()
-        path = kept or f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
-        if not kept:
-            spark.sparkContext.setCheckpointDir(path)
-            path = spark.sparkContext.getCheckpointDir()
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='sparkloom-')}")
+        path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
@@ -52,6 +65,7 @@ class Stored:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
+        small_batches(spark)
 
     def put(self, name: str, df: DataFrame, **options: str) -> DataFrame:
         path = new_path(self.spark, name)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Stored, components, semi_filter
-from .textkernel import U, blocks, mix, row_slices, text_shingles
+from .textkernel import U, blocks, mix, released, row_slices, text_shingles
 
 TABLES, BUCKETS, MANTISSA = 32, 4, 10
 EMPTY = 0xFFFF
@@ -391,16 +391,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     kept = Stored(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, n_shingles long, s1 long, s2 long, sketch binary"
-    sketched = kept.put("hm_sketch", docs.mapInArrow(signature_rows(k), schema))
+    sketched = kept.put("hm_sketch", docs.mapInArrow(released(signature_rows(k)), schema))
     linkable = sketched.where("doc_id is not null and n_shingles > 0")
     classes = kept.put("hm_class", linkable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
     reps = sketched.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
     reps = kept.put("hm_rep", reps)
-    bands = reps.select("rep", "sketch").mapInArrow(_band_rows, "key long, rep long, band int")
+    bands = reps.select("rep", "sketch").mapInArrow(released(_band_rows), "key long, rep long, band int")
     leaders = kept.put("hm_lead", bands.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("c")).where("c > 1"))
     # At most TABLES entries a document.
     spots = bands.join(leaders, "key").groupBy("rep").agg(F.collect_list(F.struct("band", "key", "c", "lead")).alias("spots"))
-    spots = kept.put("hm_spot", spots.mapInArrow(_spot_rows, "rep long, lead long, sizes binary, keys array<long>"))
+    spots = kept.put("hm_spot", spots.mapInArrow(released(_spot_rows), "rep long, lead long, sizes binary, keys array<long>"))
 
     def of(side: str) -> DataFrame:
         return reps.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))

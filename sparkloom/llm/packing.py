@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Stored
+from .textkernel import released
 from .tokens import Encoder
 
 CAPACITY, GROUPS = 1024, 128
@@ -199,7 +200,7 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, end_id:
     """
     kept = Stored(spark)
     schema = "pid long, doc_id long, piece int, start long, length long, ids_crc32 long, rank long"
-    pieces = kept.put("pk_piece", docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(capacity, end_id, encoder), schema))
+    pieces = kept.put("pk_piece", docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(_pieces(capacity, end_id, encoder), Encoder.forget), schema))
     counts = kept.put("pk_count", pieces.groupBy("pid", "length").agg(F.count("*").alias("n")))
     # A histogram: one row for each length up to the capacity.
     plan = Plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity, groups)
@@ -214,4 +215,4 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, end_id:
             out = batch.select(["doc_id", "piece", "start", "length", "ids_crc32"])
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sequence), pa.array(offset)], names=[*out.schema.names, "sequence_id", "offset"])
 
-    return pieces.join(base, ["pid", "length"]).mapInArrow(assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return pieces.join(base, ["pid", "length"]).mapInArrow(released(assign), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -20,14 +20,14 @@ class Encoder:
 
     _shared: dict = {}
 
-    def __init__(self, ranks_path: str | None = None, cache_bytes: int = 64 << 20):
+    def __init__(self, ranks_path: str | None = None, cache_bytes: int = 16 << 20):
         import public_tokenizers
         import tiktoken
 
         with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
-        self.cache, self.left = OrderedDict(), cache_bytes
+        self.cache, self.left, self.room = OrderedDict(), cache_bytes, cache_bytes
 
     @classmethod
     def shared(cls, *args) -> Encoder:
@@ -36,6 +36,13 @@ class Encoder:
             cls._shared[args] = cls(*args)
         return cls._shared[args]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Empties the caches of the worker's encoders."""
+        for own in cls._shared.values():
+            own.cache.clear()
+            own.left = own.room
+
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import semi_filter
-from .textkernel import LOWER, U, mix, row_slices, text_bytes, word_hashes
+from .common import semi_filter, small_batches
+from .textkernel import LOWER, U, mix, released, row_slices, text_bytes, word_hashes
 
 #: Most labelled documents that a chain is fitted on.
 SAMPLE = 8_000
@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r.doc_id,) for r in rows], "doc_id long")
     texts = semi_filter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id", limit=max(sample, 1))
-    got = texts.mapInArrow(_feature_rows, "doc_id long, places array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    got = texts.mapInArrow(released(_feature_rows), "doc_id long, places array<int>").toArrow().combine_chunks().sort_by("doc_id")
     lists = got.column("places").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     by = {r.doc_id: [r[n] for n in names] for r in rows}
@@ -229,6 +229,7 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories
     rows.
     """
     names = [name for name, _, _ in categories]
+    small_batches(spark)
     model = spark.sparkContext.broadcast(train(docs, labels, categories, sample))
 
     def run(batches):
@@ -241,4 +242,4 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *[x + n for n in names for x in ("p_", "is_")]])
 
     schema = "doc_id long, " + ", ".join(f"p_{n} double, is_{n} boolean" for n in names)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), schema)
