@@ -2,9 +2,9 @@
 
 Categories are predicted one after another; each model sees the word features and the earlier
 categories' probabilities. In training, those are out-of-fold predictions, so that a later model
-learns how far the earlier ones can be trusted on texts they haven't seen. The models are logistic
-regressions fitted on at most SAMPLE labelled documents, chosen by a hash of doc_id; everything else
-runs over all documents.
+learns how far the earlier ones can be trusted on texts they haven't seen; copies of a text share a
+fold. The models are logistic regressions fitted on at most SAMPLE labelled documents, chosen by a
+hash of doc_id; everything else runs over all documents.
 
 Features are a text's distinct words (runs of ASCII letters, digits and non-ASCII bytes, A-Z
 lower-cased) and the words' prefixes of PREFIXES bytes, hashed to 2**BITS places; prefixes stand in
@@ -166,11 +166,20 @@ def best_cutoff(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][k] + below) / 2)
 
 
-def fit_chain(places: np.ndarray, at: np.ndarray, labels: np.ndarray) -> tuple[Chain, np.ndarray]:
-    """labels: (documents, categories), 0 or 1. Returns the chain and the out-of-fold probabilities."""
+def folds(places: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A fold for each text by its least feature hash: copies share one, near copies do so with a chance equal to their similarity."""
+    out = np.zeros(len(at) - 1, np.int64)
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        out[full] = (mix(np.minimum.reduceat(mix(places.astype(U)), at[full])) % U(FOLDS)).astype(np.int64)
+    return out
+
+
+def fit_chain(places: np.ndarray, at: np.ndarray, labels: np.ndarray, fold: np.ndarray | None = None) -> tuple[Chain, np.ndarray]:
+    """labels: (documents, categories), 0 or 1; fold: by document, in turn if not given. Returns the chain and the out-of-fold probabilities."""
     size = 1 << BITS
     n, m = labels.shape
-    fold = np.arange(n) % FOLDS
+    fold = np.arange(n) % FOLDS if fold is None else fold
     oof = np.zeros((n, m))
     models, cutoffs = [], []
     for k in range(m):
@@ -195,7 +204,7 @@ def _feature_rows(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int = SAMPLE) -> Chain:
-    """Fits a chain. At most ``sample`` labelled documents' features come to the driver."""
+    """Fits a chain. The features of at most ``sample`` labelled doc_ids come to the driver, one text for each (of several, the least)."""
     yes = [(F.max((F.col(c) == v).cast("int"))).alias(name) for name, c, v in categories]
     names = [name for name, _, _ in categories]
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*yes).dropna()
@@ -206,16 +215,15 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r.doc_id,) for r in rows], "doc_id long")
     texts = semi_filter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id", limit=max(sample, 1))
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     got = texts.mapInArrow(released(_feature_rows), "doc_id long, places array<int>").toArrow().combine_chunks().sort_by("doc_id")
     lists = got.column("places").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     by = {r.doc_id: [r[n] for n in names] for r in rows}
     y = np.array([by[i] for i in got.column("doc_id").to_pylist()], np.int64).reshape(-1, len(names))
     at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
-    # A mix of documents in every fold, however their ids run.
-    order = np.argsort(mix(np.array(got.column("doc_id").to_pylist(), np.int64).view(U)), kind="stable")
-    places, at = subset(lists.flatten().to_numpy().astype(np.int64), at, order)
-    chain, _ = fit_chain(places, at, y[order])
+    places = lists.flatten().to_numpy().astype(np.int64)
+    chain, _ = fit_chain(places, at, y, folds(places, at))
     return chain
 
 
