@@ -1,14 +1,21 @@
 """Quality rules with risk-controlled thresholds, in DataFrame operations only.
 
-A base rule rejects short and self-repeating documents. Beyond it, each feature of FEATURES has a
-fixed ladder of cutoffs, loosest first. For every stratum and feature, cutoffs are tested on the
-labelled documents of good quality that the base rule keeps: a cutoff passes if, were its true rate
-of false rejection ALPHA, so few rejections as seen would have a binomial chance of at most
-DELTA / (strata * features) - the exact one-sided Clopper-Pearson bound, with Bonferroni's
-correction over strata and features. Along a ladder the tests stop at the first failure, so no
-correction is needed there and, with confidence 1 - DELTA, every passing cutoff in every stratum
-rejects at most ALPHA of the good documents. Of these, the one that rejects most labelled documents
-of bad quality is taken, and the loosest of such; none, if it rejects no bad one.
+A base rule rejects short and self-repeating documents. Beyond it stands a ladder of rungs, loosest
+first; a rung has a cutoff for each feature of FEATURES and rejects a document if any feature is
+above its cutoff, so a rung's risk is that of all its features together. For every stratum, rungs
+are tested on the labelled documents of good quality that the base rule keeps: a rung passes if,
+were its true rate of false rejection ALPHA, so few rejections as seen would have a binomial chance
+of at most DELTA / strata - the exact one-sided Clopper-Pearson bound, with Bonferroni's correction
+over strata. Along the ladder tests stop at the first failure, so no correction is needed there
+and, with confidence 1 - DELTA, every passing rung of every stratum rejects at most ALPHA of its good
+documents. Being safe together, any of them may be chosen: the one with the largest number of bad
+documents rejected, each good one rejected counting as COST bad ones, and the loosest of such; none,
+if that number isn't above 0.
+
+A stratum with fewer good documents than even no false rejection among them could certify,
+log(DELTA / strata) / log(1 - ALPHA), is pooled with all other such ones, and the bound holds for
+their mixture instead. If their pool is too small as well, only the base rule judges them, as it
+does strata without labels.
 """
 
 from __future__ import annotations
@@ -19,15 +26,16 @@ from pyspark.sql import functions as F
 
 from .common import Stored
 
-ALPHA, DELTA = 0.004, 0.05
-#: Cutoffs of each feature, loosest first; a document is rejected if its value is above.
+ALPHA, DELTA, COST = 0.05, 0.05, 10
+#: Cutoffs of each feature, one a rung, loosest first; a document is rejected if its value is above.
 FEATURES = {
     "symbols": [3.0, 2.5, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1],
     "shouts": [3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05],
-    "dup_lines": [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1],
-    "repeats": [0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1],
-    "word_length": [60.0, 40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 12.0, 11.0, 10.0],
+    "dup_lines": [0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5, 0.45, 0.4],
+    "repeats": [0.5, 0.48, 0.46, 0.44, 0.42, 0.4, 0.38, 0.36, 0.34, 0.32, 0.3, 0.28],
+    "word_length": [60.0, 40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 10.0, 9.0, 8.0, 7.0],
 }
+RUNGS = len(FEATURES["symbols"])
 #: Space as in the word pattern [^\x20\x09-\x0D]+, for a regular expression and for trimming.
 _GAP, _BLANK = r"[\x20\x09-\x0D]+", " \t\n\x0b\f\r"
 
@@ -109,48 +117,55 @@ def log_binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(ks, start, step, lambda acc: acc["total"])
 
 
-def thresholds(labelled: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """stratum, feature, cutoff. labelled: the base rule's survivors with columns of measured() and good (boolean)."""
-    values, rungs = feature_values(), {f: len(c) for f, c in FEATURES.items()}
-    # How many rungs of its ladder a value is above; a stricter cutoff rejects all that a looser one does.
-    passed = {f: sum((F.when(values[f] > c, 1).otherwise(0) for c in cuts), F.lit(0)) for f, cuts in FEATURES.items()}
-    long = labelled.select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), v.cast("int").alias("above")) for f, v in passed.items()])).alias("x"))
-    counts = long.groupBy("stratum", "x.feature", "x.above").agg(F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"))
-    ladder = F.map_from_arrays(F.array(*[F.lit(f) for f in FEATURES]), F.array(*[F.lit(n) for n in rungs.values()]))
-    cut = F.map_from_arrays(F.array(*[F.lit(f) for f in FEATURES]), F.array(*[F.array(*[F.lit(c) for c in cuts]) for cuts in FEATURES.values()]))
-    per = counts.groupBy("stratum", "feature").agg(F.map_from_entries(F.collect_list(F.struct("above", F.struct("n_good", "n_bad")))).alias("of"))
-    # A ladder has a dozen rungs: strata * features * rungs rows in all. Rung r (from 1, loosest) rejects values above the ladder's last n - r + 1 cutoffs.
-    rows = per.select("stratum", "feature", "of", F.explode(F.sequence(F.lit(1), ladder[F.col("feature")])).alias("rung"))
-    rows = rows.withColumn("least", ladder[F.col("feature")] - F.col("rung") + 1)
-    sums = lambda what, low: F.aggregate(F.map_entries("of"), F.lit(0).cast("long"), lambda acc, e: acc + F.when(e["key"] >= low, e["value"][what]).otherwise(0))
-    rows = rows.select("stratum", "feature", "rung", sums("n_good", F.lit(0)).alias("n"), sums("n_good", F.col("least")).alias("k"), sums("n_bad", F.col("least")).alias("caught"))
-    strata = rows.select(F.count_distinct("stratum").alias("strata"))
-    tests = F.log(F.lit(delta) / (F.col("strata") * len(FEATURES)))
+def rung(values: dict[str, Column]) -> Column:
+    """The first rung that rejects a document, 1 to RUNGS; beyond it if none does."""
+    firsts = [sum((F.when(values[f] > c, 0).otherwise(1) for c in cuts), F.lit(1)) for f, cuts in FEATURES.items()]
+    return F.least(*firsts)
+
+
+def first_rungs(labelled: DataFrame) -> DataFrame:
+    """stratum, first (rung that rejects), n_good, n_bad of documents: a row a stratum and rung. labelled: the base rule's survivors with columns of measured() and good (boolean)."""
+    told = labelled.select("stratum", "doc_id", rung(feature_values()).alias("first"), "good").distinct()  # repeated rows count once
+    return told.groupBy("stratum", "first").agg(F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"))
+
+
+def thresholds(counts: DataFrame, alpha: float, delta: float, cost: float = COST) -> DataFrame:
+    """stratum, chosen (a rung): one row for each stratum that has one. counts: first_rungs()'s rows."""
+    goods = counts.groupBy("stratum").agg(F.sum("n_good").alias("goods"))
+    strata = goods.agg(F.count("*").alias("strata"))
+    least = F.log(F.lit(delta) / F.col("strata")) / F.log1p(F.lit(-alpha))
+    pools = goods.join(F.broadcast(strata)).select("stratum", "strata", F.when(F.col("goods") >= least, F.struct(F.lit(False).alias("pooled"), F.col("stratum").alias("name"))).otherwise(F.struct(F.lit(True).alias("pooled"), F.lit("").alias("name"))).alias("pool"))
+    # One row for each pool and rung, with what the rung rejects; a pool has RUNGS + 1 counts at most.
+    per = counts.join(F.broadcast(pools), "stratum").groupBy("pool", "strata", "first").agg(F.sum("n_good").alias("n_good"), F.sum("n_bad").alias("n_bad"))
+    along = W.partitionBy("pool").orderBy("rung").rowsBetween(W.unboundedPreceding, 0)
+    rungs = per.groupBy("pool", "strata").agg(F.sum("n_good").alias("n"), F.collect_list(F.struct("first", "n_good", "n_bad")).alias("of"))
+    up_to = lambda c: F.aggregate("of", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["first"] <= F.col("rung"), x[c]).otherwise(0))
+    rungs = rungs.withColumn("rung", F.explode(F.sequence(F.lit(1), F.lit(RUNGS)))).select("pool", "strata", "n", "rung", up_to("n_good").alias("k"), up_to("n_bad").alias("caught"))
     # Above its mean a binomial's tail is no small chance, so such a k fails without a sum.
     tail = F.when(F.col("k") >= F.col("n") * alpha, F.lit(0.0)).otherwise(log_binomial_tail(F.col("k"), F.col("n"), alpha))
-    rows = rows.join(F.broadcast(strata)).withColumn("passes", tail <= tests)
-    along = W.partitionBy("stratum", "feature").orderBy("rung").rowsBetween(W.unboundedPreceding, 0)
-    certified = rows.withColumn("passes", F.min("passes").over(along)).where("passes and caught > 0")
-    best = certified.groupBy("stratum", "feature").agg(F.max_by("rung", F.struct("caught", -F.col("rung"))).alias("rung"))
-    return best.select("stratum", "feature", F.element_at(cut[F.col("feature")], F.col("rung")).alias("cutoff"))
+    tested = rungs.withColumn("passes", F.min(tail <= F.log(F.lit(delta) / F.col("strata"))).over(along))
+    gain = F.col("caught") - cost * F.col("k")
+    best = tested.where(F.col("passes") & (gain > 0)).groupBy("pool").agg(F.max_by("rung", F.struct(gain.alias("gain"), -F.col("rung"))).alias("chosen"))
+    return pools.join(F.broadcast(best), "pool").select("stratum", "chosen")
 
 
 def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per document: the columns of measured() and kept, and the names of the rules that it failed.
+    """One row per document: the columns of measured(), kept, and failed_rules: the features above their cutoffs.
 
     docs: doc_id, text and the stratum's column; labels: doc_id, quality (1 good, 0 bad). Other
     columns are ignored. A null text has no words, so it fails the base rule. A null stratum is one
     of its own. A document with several labels is good if any says so; null labels and labels of no
     document are ignored; a row of null doc_id has no label. Repeated rows are judged alike. With
-    too few labels no cutoff passes, and only the base rule rejects. An empty table gives no rows.
+    too few labels no rung passes, and only the base rule rejects. An empty table gives no rows.
     """
     kept = Stored(spark)
     rows = kept.put("qr_rows", measured(docs, stratum))
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("quality") >= 1).alias("good"))
     labelled = rows.where("not base_failed").join(known, "doc_id")
-    cuts = kept.put("qr_cuts", thresholds(labelled, alpha, delta))
-    per = cuts.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("feature", "cutoff"))).alias("cut"))
-    out = rows.join(per, "stratum", "left")
-    fails = [F.when(v > F.col("cut")[f], F.lit(f)) for f, v in feature_values().items()]
+    counts = kept.put("qr_first", first_rungs(labelled))
+    chosen = kept.put("qr_rung", thresholds(counts, alpha, delta))  # a row a stratum
+    out = rows.join(chosen, "stratum", "left")
+    cut = lambda f: F.element_at(F.array(*[F.lit(c) for c in FEATURES[f]]), F.col("chosen"))
+    fails = [F.when(v > cut(f), F.lit(f)) for f, v in feature_values().items()]
     out = out.withColumn("failed_rules", F.array_compact(F.array(*fails)))
     return out.select(*rows.columns, "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))

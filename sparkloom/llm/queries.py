@@ -94,8 +94,8 @@ FROM p LEFT JOIN m USING (d)
 
 OP6_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+  SELECT vec_id, label, e FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)
+  WHERE list_count(e) = len(e) AND isfinite(list_dot_product(e, e)) AND list_dot_product(e, e) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
   AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
 r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
@@ -106,5 +106,63 @@ FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
 
+def _op5_sql() -> str:
+    from .quality_rules import ALPHA, COST, DELTA, FEATURES
+
+    ladder = ", ".join(str((r + 1, *cuts)) for r, cuts in enumerate(zip(*FEATURES.values())))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+one AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+win AS (SELECT rid, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS win FROM one WINDOW o AS (PARTITION BY rid ORDER BY i)),
+twice AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, win) AS c FROM win WHERE win IS NOT NULL) WHERE c > 1),
+rep AS (SELECT rid, count(DISTINCT i + j) AS n FROM twice, (VALUES (0), (1), (2)) AS v(j) GROUP BY rid),
+lin AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM lin WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+m AS (SELECT d.rid, doc_id, stratum, len(w.w) AS n_words, length(array_to_string(w.w, '')) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(text, '!')) AS n_shouts,
+    coalesce(dup.n_lines, 0) AS n_lines, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    n_symbols / greatest(n_words, 1) AS f1, n_shouts / greatest(n_words, 1) AS f2, n_dup_lines / greatest(n_lines, 1) AS f3,
+    n_repeat_words / greatest(n_words, 1) AS f4, word_chars / greatest(n_words, 1) AS f5 FROM m),
+ladder(rung, c1, c2, c3, c4, c5) AS (VALUES {ladder}),
+known AS (SELECT doc_id, max(quality) >= 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+labelled AS (SELECT f.*, good FROM f JOIN known USING (doc_id) WHERE NOT base_failed),
+strata AS (SELECT stratum, count(DISTINCT doc_id) FILTER (good) AS goods, count(*) OVER () AS strata FROM labelled GROUP BY stratum),
+pools AS (SELECT stratum, strata, CASE WHEN goods >= ln({DELTA} / strata) / ln(1 - {ALPHA}) THEN 'own ' || stratum ELSE 'pool' END AS pool FROM strata),
+rungs AS (SELECT pool, strata, rung, count(DISTINCT doc_id) FILTER (good) AS n,
+    count(DISTINCT doc_id) FILTER (good AND (f1 > c1 OR f2 > c2 OR f3 > c3 OR f4 > c4 OR f5 > c5)) AS k,
+    count(DISTINCT doc_id) FILTER (NOT good AND (f1 > c1 OR f2 > c2 OR f3 > c3 OR f4 > c4 OR f5 > c5)) AS caught
+  FROM labelled JOIN pools USING (stratum), ladder GROUP BY pool, strata, rung),
+tails AS (SELECT pool, strata, rung, k, caught,
+    sum(exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA}))) AS tail
+  FROM rungs, generate_series(0, k) AS g(j) GROUP BY ALL),
+tested AS (SELECT *, bool_and(tail <= {DELTA} / strata) OVER (PARTITION BY pool ORDER BY rung) AS passes, caught - {COST} * k AS gain FROM tails),
+chosen AS (SELECT pool, rung FROM tested WHERE passes AND gain > 0 QUALIFY row_number() OVER (PARTITION BY pool ORDER BY gain DESC, rung) = 1)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(f1 > c1 OR f2 > c2 OR f3 > c3 OR f4 > c4 OR f5 > c5, false) AS kept
+FROM f LEFT JOIN pools USING (stratum) LEFT JOIN chosen USING (pool) LEFT JOIN ladder USING (rung)
+"""
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+one AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM w),
+two AS (SELECT doc_id, n, i, word || ' ' || lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS s, word FROM one),
+s AS (SELECT DISTINCT doc_id, s FROM two WHERE s IS NOT NULL UNION SELECT doc_id, word FROM two WHERE n = 1),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN both_ways l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id
+"""
+
+
 def oracle_sql():
-    return {"op2_warc": OP2_SQL, "op6_embedding_near_dedup": OP6_SQL}
+    return {"op2_warc": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op5_quality_rules": _op5_sql(), "op6_embedding_near_dedup": OP6_SQL}

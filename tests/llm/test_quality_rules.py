@@ -76,3 +76,53 @@ def test_thresholds_catch_bad_and_spare_good(spark):
 
 def test_empty(spark):
     assert qr.judged(spark, spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+def chosen_rungs(rows, alpha, delta, cost):
+    """The rung of each stratum by whole-number binomials; rows: (stratum, first rung that rejects, good)."""
+    strata = {s for s, _, _ in rows}
+    sure = lambda n, k: sum(math.comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(k + 1)) <= delta / len(strata)
+    goods = Counter(s for s, _, good in rows if good)
+    pool_of = {s: s if sure(goods[s], 0) else "pool" for s in strata}
+    out = {}
+    for pool in set(pool_of.values()):
+        own = [(first, good) for s, first, good in rows if pool_of[s] == pool]
+        n, best = sum(g for _, g in own), None
+        for rung in range(1, qr.RUNGS + 1):
+            k = sum(g for f, g in own if f <= rung)
+            if not sure(n, k):
+                break
+            gain = sum(not g for f, g in own if f <= rung) - cost * k
+            if gain > 0 and (best is None or gain > best[0]):
+                best = (gain, rung)
+        if best:
+            out |= {s: best[1] for s in strata if pool_of[s] == pool}
+    return out
+
+
+def test_rungs_equal_a_brute_force_clopper_pearson(spark):
+    r = random.Random(8)
+    for trial in range(6):
+        alpha, cost = r.choice([0.02, 0.05, 0.1]), r.choice([1, 3, 10])
+        rows = []
+        for s, n in (("a", r.choice([30, 400])), ("b", 90), ("", r.choice([20, 700])), ("d", 45)):
+            for _ in range(n):
+                good = r.random() < 0.8
+                rows.append((s, min(qr.RUNGS + 1, max(1, int(r.gauss(12 if good else 6, 1.5 if trial % 2 else 3)))), good))
+        counts = Counter((s, f, g) for s, f, g in rows)
+        table = [(s, f, counts[s, f, True], counts[s, f, False]) for s, f in {(s, f) for s, f, _ in rows}]
+        df = spark.createDataFrame(table, "stratum string, first int, n_good long, n_bad long")
+        assert {x.stratum: x.chosen for x in qr.thresholds(df, alpha, 0.05, cost).collect()} == chosen_rungs(rows, alpha, 0.05, cost)
+
+
+def test_small_strata_are_pooled(spark):
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 6 == 0
+        rows.append((i, " ".join(f"v{r.randrange(5000)}" + ("***" if bad else "") for _ in range(60)), ["en", "de", "fr", "es"][i % 4], 0, ""))
+        if i < 200:
+            labels.append((i, int(not bad)))
+    rows.append((1000, rows[0][1], "unheard", 0, ""))
+    out = qr.judged(spark, spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert {x.doc_id for x in out if not x.kept} == {i for i in range(600) if i % 6 == 0}  # no stratum alone has labels enough, their pool has
