@@ -92,6 +92,27 @@ class Gap:
     inner: tuple[int, int] | None = None  #: where it is in the decompressed bytes of the member from start to end
 
 
+def told_digest(value: str) -> tuple[str, str] | None:
+    """Algorithm and lower-case hex of a labelled digest in hex or base32; None if it is neither or of an unknown algorithm."""
+    name, _, told = value.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    size, told = hashlib.new(name).digest_size, told.strip()
+    if re.fullmatch(r"[0-9A-Fa-f]+", told) and len(told) == 2 * size:
+        return name, told.lower()
+    bare = told.rstrip("=").upper()
+    if re.fullmatch(r"[A-Z2-7]+", bare) and len(bare) == -(-size * 8 // 5):
+        return name, base64.b32decode(bare + "=" * (-len(bare) % 8)).hex()
+    return None
+
+
+def agrees(value: str, data: bytes) -> bool:
+    """Whether data has the labelled digest; True if that can't be checked."""
+    told = told_digest(value)
+    return not told or hashlib.new(told[0], data).hexdigest() == told[1]
+
+
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """The record that begins at ``at``: header fields (lower-case names), block, end. Raises Damaged."""
     line = data.find(b"\r\n", at, at + 16)
@@ -122,12 +143,8 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("block has another length")
     block = data[begin:end]
-    digest = fields.get("warc-block-digest", "")
-    if digest.lower().startswith("sha1:"):
-        told = digest[5:]
-        own = hashlib.sha1(block)
-        if told.upper() != base64.b32encode(own.digest()).decode() and told.lower() != own.hexdigest():
-            raise Damaged("block digest differs")
+    if not agrees(fields.get("warc-block-digest", ""), block):
+        raise Damaged("block digest differs")
     return fields, block, end + 4
 
 
@@ -267,7 +284,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """A row for each record (kind 'record') and each quarantined gap (kind 'gap'); see READ_SCHEMA.
 
     payload_digest is the lower-case hex of the whole payload's SHA-1: computed for a response, told
-    by the header for a revisit. A response whose payload differs from the header's is damaged, and
+    by the header for a revisit (as it stands there if it isn't a SHA-1); payload_bytes of a revisit
+    is null where its header tells none. Digests are checked in hex and base32, of MD5 and SHA-1,
+    -256 and -512; others are not. A response whose payload differs from the header's is damaged, and
     so a gap. A gap inside a gzip member has the member's start and end, and its place in the
     decompressed bytes as inner_start and inner_end. A record saved from a failing member has the
     member's fault as its reason. Empty files give no rows.
@@ -279,13 +298,15 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
             return ("gap", name, item.start, item.end, item.reason, *[None] * 7, *(item.inner or (None, None)))
         f, kind = item.fields, item.fields.get("warc-type")
         head, _, payload = item.block.partition(b"\r\n\r\n") if f.get("content-type", "").startswith("application/http") else (b"", b"", item.block)
-        told = f.get("warc-payload-digest", "")[5:]
+        told = f.get("warc-payload-digest", "")
         page, refers = (int(f[k]) if re.fullmatch(r"-?\d+", f.get(k, "")) else None for k in ("x-page-id", "x-refers-to-page-id"))
         if kind == "revisit":
-            size, digest, payload = int(f.get("x-payload-length", 0)), base64.b32decode(told).hex() if told else None, None
+            size = int(f["x-payload-length"]) if re.fullmatch(r"\d+", f.get("x-payload-length", "")) else None
+            algorithm, digest = told_digest(told) or (None, None)
+            digest, payload = digest if algorithm == "sha1" else told or None, None
         else:
             size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-            if told and base64.b32decode(told).hex() != digest:
+            if not agrees(told, payload):
                 return ("gap", name, item.start, item.end, "payload digest differs", *[None] * 9)
         return ("record", name, item.start, item.end, item.reason, page, kind, f.get("warc-target-uri"), size, digest, refers, payload if payloads else None, None, None)
 

@@ -118,3 +118,30 @@ def test_inner_gap_in_spark(spark, tmp_path):
     rows = warc.read_archives(spark, str(tmp_path)).collect()
     assert [(x.kind, x.page_id) for x in rows] == [("record", 0), ("gap", None), ("record", 2)]
     assert (rows[1].inner_start, rows[1].inner_end) == (len(raw[0]), len(raw[0]) + 40)
+
+
+def test_digests_of_other_forms(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    payload = b"hello"
+
+    def rec(i, digest, kind="response", more=""):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nX-Page-Id: {i}\r\nContent-Type: application/http\r\nWARC-Payload-Digest: {digest}\r\n{more}Content-Length: {len(body)}\r\n\r\n"
+        return warc.member(head.encode() + body + b"\r\n\r\n")
+
+    sha1, sha256 = hashlib.sha1(payload).hexdigest(), hashlib.sha256(payload).hexdigest()
+    parts = [
+        rec(1, "sha1:" + sha1),
+        rec(2, "SHA-256:" + sha256.upper()),
+        rec(3, "sha256:" + "0" * 64),  # differs
+        rec(4, "blake3:xyz"),
+        rec(5, "sha1:notadigest!"),
+        rec(6, "sha1:" + sha1, "revisit", "X-Payload-Length: five\r\n"),
+        rec(7, "sha256:" + sha256, "revisit"),
+        rec(8, "", "revisit"),
+        rec(9, warc.sha1_base32(payload)),
+    ]
+    (tmp_path / "part-0").write_bytes(b"".join(parts))
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert [x.reason for x in rows if x.kind == "gap"] == ["payload digest differs"]
+    got = {x.page_id: (x.payload_bytes, x.payload_digest) for x in rows if x.kind == "record"}
+    assert got == {1: (5, sha1), 2: (5, sha1), 4: (5, sha1), 5: (5, sha1), 6: (None, sha1), 7: (None, "sha256:" + sha256), 8: (None, None), 9: (5, sha1)}
