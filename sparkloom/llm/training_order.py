@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, new_path
+from .common import Stored, make_folder, new_path
 from .textkernel import U, mix
 from .tokens import Encoder
 
@@ -94,6 +94,8 @@ def _sequences(length: int, end_id: int, encoder: tuple):
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1)):
                 ids = np.append(encode(text.as_py()), np.uint32(end_id))
+                if int(ids.max()) > 0xFFFF:
+                    raise ValueError(f"id {int(ids.max())} doesn't fit in two bytes")
                 held.append((ids, doc.as_py()))
                 n += len(ids)
                 if n >= 512 * length:
@@ -120,6 +122,7 @@ def materialise(spark: SparkSession, docs: DataFrame, key: int = 20_26, length:
     pids = np.array([p for p, _ in counts], np.int64)
     bases = np.cumsum([0, *(n for _, n in counts)])[:-1].astype(np.int64)
     path = new_path(spark, "to_shards")
+    make_folder(spark, path)
 
     def slots(first: int, last: int, records: bool):
         """Rows of the slots in [first, last), with their records or with what tells of them."""
@@ -160,15 +163,34 @@ def materialise(spark: SparkSession, docs: DataFrame, key: int = 20_26, length:
     return path, told
 
 
+def _shard_of(path: str) -> int:
+    where = PurePosixPath(path)
+    return int(where.parent.name.removeprefix("from-")) + int(re.match(r"part-(\d+)", where.name)[1])
+
+
+def shard_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Files of a materialised folder and their shards, by the names alone. Raises FileNotFoundError if there is no such folder."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    names = [str(x.getPath()) for x in fs.globStatus(jvm.org.apache.hadoop.fs.Path(at, "from-*/part-*")) or []]
+    return sorted(((n, _shard_of(n)) for n in names), key=lambda x: x[1])
+
+
 def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS, from_slot: int = 0) -> DataFrame:
-    """Sequences of the shards from ``from_slot`` on: slot, shard, position, n, ids (binary), ids_crc32."""
+    """Sequences of the shards from ``from_slot`` on: slot, shard, position, n, ids (binary), ids_crc32.
+
+    Shards that end before ``from_slot`` are left out by their names and not opened. An empty folder
+    gives no rows, a missing one raises.
+    """
     size = stride(length)
 
     def records(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                where = PurePosixPath(name)
-                shard = int(where.parent.name.removeprefix("from-")) + int(re.match(r"part-(\d+)", where.name)[1])
+                shard = _shard_of(name)
                 raw = content.as_buffer()
                 rows = len(raw) // size
                 if rows * size != len(raw):
@@ -184,14 +206,11 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard_rows
                         names=["slot", "shard", "position", "n", "ids", "ids_crc32"],
                     )
 
-    from pyspark.errors import AnalysisException
-
     schema = "slot long, shard long, position long, n int, ids binary, ids_crc32 long"
-    try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    except AnalysisException:  # no sequence, no shard, no folder
+    files = [f for f, shard in shard_files(spark, path) if (shard + 1) * shard_rows > from_slot]
+    if not files:
         return spark.createDataFrame([], schema)
-    return files.mapInArrow(records, schema)
+    return spark.read.format("binaryFile").load(files).select("path", "content").mapInArrow(records, schema)
 
 
 def written_and_read(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
