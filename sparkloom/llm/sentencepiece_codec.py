@@ -4,9 +4,11 @@ A byte-pair segmentation is the one path through the lattice of pieces on which
 stay apart when the merges run on their concatenation alone. So it's found by max-plus products over
 states (last piece, how far it reaches past a boundary): pairs that would merge differently weigh
 minus infinity, and pieces their scores. A giant text is cut every CHUNK characters, wherever that
-falls. Each chunk yields the matrix of best scores from its entry states to its exit states;
-matrices are combined associatively, from both ends, to the state at every boundary; then each
-chunk traces its own ids back from its two states, on whatever executor it lies.
+falls. Each chunk yields the matrix of best scores from its entry states to its exit states. The
+matrices of SPAN chunks in a row are multiplied, as a tree, in a task of their own; of the products,
+of which a text of 2 GB has some hundred, the states at the ends of every span follow, and within
+each span, again in a task of its own, those at every boundary. Then each chunk traces its own ids
+back from its two states, on whatever executor it lies.
 
 No piece of the vocabulary runs from another character into a space sign (checked when the model is
 loaded). So in a chunk that holds two word starts or more only its first and last stretch need the
@@ -30,6 +32,8 @@ from .common import Stored
 
 #: Characters from which on a text is giant, and of a chunk of it. A chunk is longer than any piece.
 GIANT, CHUNK = 32_768, 16_384
+#: Chunks in a row whose matrices are combined in one task.
+SPAN = 256
 #: Words whose ids a worker keeps, and the longest of them.
 CACHE_WORDS, CACHE_CHARS = 400_000, 64
 SIGN = "▁"
@@ -249,8 +253,19 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1) if b.size and a.size else np.full((a.shape[0], b.shape[1]), -np.inf)
 
 
-def boundary_states(matrices: list[np.ndarray]) -> list[int]:
-    """The best path's state at every boundary, first and last included, from products up to it and from it on."""
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The max-plus product of matrices in a row, by pairs."""
+    while len(matrices) > 1:
+        matrices = [combine(*matrices[k : k + 2]) if k + 1 < len(matrices) else matrices[k] for k in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def boundary_states(matrices: list[np.ndarray], first: int | None = None, last: int | None = None) -> list[int]:
+    """The best path's state at every boundary, from products up to it and from it on; first, last: the states at the ends, where known."""
+    if first is not None:
+        matrices = [matrices[0][first : first + 1], *matrices[1:]]
+    if last is not None:
+        matrices = [*matrices[:-1], matrices[-1][:, last : last + 1]]
     ahead = [np.zeros((1, matrices[0].shape[0]))]
     for m in matrices:
         ahead.append(combine(ahead[-1], m))
@@ -263,7 +278,7 @@ def boundary_states(matrices: list[np.ndarray]) -> list[int]:
         if not np.isfinite(total).any():
             raise ValueError("no path: a chunk's matrix is wrong")
         out.append(int(total.argmax()))
-    return out
+    return [out[0] if first is None else first, *out[1:-1], out[-1] if last is None else last]
 
 
 def crc_product(a: int, b: int) -> int:
@@ -336,9 +351,27 @@ def _matrices(path: str | None):
     return run
 
 
-def _scan(table: pa.Table) -> pa.Table:
+def _matrices_of(rows: list[dict]) -> list[np.ndarray]:
+    return [np.frombuffer(r["matrix"]).reshape(r["entries"], r["exits"]) for r in rows]
+
+
+def _span_product(table: pa.Table) -> pa.Table:
+    rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+    m = product(_matrices_of(rows))
+    return pa.table({"key": pa.array([rows[0]["key"]]), "span": pa.array([rows[0]["span"]], pa.int32()), "entries": pa.array([m.shape[0]], pa.int32()), "exits": pa.array([m.shape[1]], pa.int32()), "matrix": pa.array([m.tobytes()], pa.binary())})
+
+
+def _span_states(table: pa.Table) -> pa.Table:
+    """A text's products to the states at the ends of its spans."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["span"])
+    found = boundary_states(_matrices_of(rows))
+    return pa.table({"key": pa.array([r["key"] for r in rows], pa.int64()), "span": pa.array([r["span"] for r in rows], pa.int32()), "first": pa.array(found[:-1], pa.int32()), "last": pa.array(found[1:], pa.int32())})
+
+
+def _chunk_states(table: pa.Table) -> pa.Table:
+    """A span's matrices and the states at its ends to those of its chunks."""
     rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-    found = boundary_states([np.frombuffer(r["matrix"]).reshape(r["entries"], r["exits"]) for r in rows])
+    found = boundary_states(_matrices_of(rows), rows[0]["first"], rows[0]["last"])
     return pa.table({"key": pa.array([r["key"] for r in rows], pa.int64()), "chunk": pa.array([r["chunk"] for r in rows], pa.int32()), "entry": pa.array(found[:-1], pa.int32()), "exit": pa.array(found[1:], pa.int32())})
 
 
@@ -372,7 +405,7 @@ def _joined(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, types))], names=["doc_id", "n_ids", "ids_crc32", "n_chars", "round_trip", "chunks"])
 
 
-def giant_chunks(spark: SparkSession, docs: DataFrame, kept: Stored, chunk: int = CHUNK, path: str | None = None) -> DataFrame:
+def giant_chunks(spark: SparkSession, docs: DataFrame, kept: Stored, chunk: int = CHUNK, path: str | None = None, span: int = SPAN) -> DataFrame:
     """Ids of the chunks of giant texts: key (a text's), doc_id, chunk, crc, bytes, chars, same, ids."""
     margin = Codec.shared(path).longest
     if chunk <= 2 * margin:
@@ -381,12 +414,14 @@ def giant_chunks(spark: SparkSession, docs: DataFrame, kept: Stored, chunk: int
     schema = "key long, doc_id long, chunk int, lo int, hi int, begin boolean, end boolean, text string, entries int, exits int, matrix binary"
     # Chunks are dealt over all tasks here, however many one text has.
     held = kept.put("sp_chunk", cut.repartition("key", "chunk").mapInArrow(_matrices(path), schema))
-    states = held.select("key", "chunk", "entries", "exits", "matrix").groupBy("key").applyInArrow(_scan, "key long, chunk int, entry int, exit int")
+    spans = held.select("key", F.floor(F.col("chunk") / span).cast("int").alias("span"), "chunk", "entries", "exits", "matrix")
+    ends = spans.groupBy("key", "span").applyInArrow(_span_product, "key long, span int, entries int, exits int, matrix binary").groupBy("key").applyInArrow(_span_states, "key long, span int, first int, last int")
+    states = spans.join(ends, ["key", "span"]).groupBy("key", "span").applyInArrow(_chunk_states, "key long, chunk int, entry int, exit int")
     both = held.drop("entries", "exits", "matrix").join(states, ["key", "chunk"])
     return both.mapInArrow(_traced(path), "key long, doc_id long, chunk int, crc long, bytes long, chars long, same boolean, ids binary")
 
 
-def encode_decode(spark: SparkSession, docs: DataFrame, giant: int = GIANT, chunk: int = CHUNK, path: str | None = None) -> DataFrame:
+def encode_decode(spark: SparkSession, docs: DataFrame, giant: int = GIANT, chunk: int = CHUNK, path: str | None = None, span: int = SPAN) -> DataFrame:
     """One row per document: doc_id, n_ids, ids_crc32, n_chars, round_trip, chunks.
 
     docs: doc_id, text; other columns are ignored. ids_crc32 is of the ids as little-endian unsigned
@@ -398,6 +433,6 @@ def encode_decode(spark: SparkSession, docs: DataFrame, giant: int = GIANT, chun
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, n_ids long, ids_crc32 long, n_chars long, round_trip boolean, chunks int"
     small = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= giant).mapInArrow(_ordinary(path), schema)
-    parts = giant_chunks(spark, docs.where(F.length("text") > giant), kept, chunk, path)
+    parts = giant_chunks(spark, docs.where(F.length("text") > giant), kept, chunk, path, span)
     grouped = parts.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("chunk", "crc", "bytes", "chars", "same"))).alias("parts"))
     return small.unionByName(grouped.select("doc_id", "parts").mapInArrow(_joined, schema))

@@ -59,11 +59,32 @@ def test_product_is_associative_and_crc_joins():
     assert sc.crc_joined(0, zlib.crc32(y), len(y)) == zlib.crc32(y)
 
 
+def test_tree_of_products_gives_the_states_of_the_whole():
+    r = np.random.default_rng(4)
+    sizes = [1, *r.integers(1, 6, 40), 1]
+    matrices = [r.normal(size=(a, b)) for a, b in zip(sizes, sizes[1:])]
+    whole = sc.boundary_states(matrices)
+    for span in (1, 3, 7, 100):
+        parts = [matrices[k : k + span] for k in range(0, len(matrices), span)]
+        ends = sc.boundary_states([sc.product(p) for p in parts])
+        got = [sc.boundary_states(p, a, b) for p, a, b in zip(parts, ends, ends[1:])]
+        assert [x for g in got for x in g[:-1]] + [got[-1][-1]] == whole
+
+
+def test_thousands_of_chunks_in_spark(spark):
+    r = random.Random(11)
+    text = "".join(random_text(r, 600) for _ in range(250))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (x,) = sc.encode_decode(spark, df, giant=1000, chunk=60, span=32).collect()
+    ids = library(text)
+    assert x.chunks > 2000 and (x.n_ids, x.ids_crc32, x.n_chars, x.round_trip) == (len(ids) // 4, zlib.crc32(ids), len(text), True)
+
+
 def test_in_spark(spark):
     r = random.Random(9)
     texts = [None, "", " ", "a▁b", "<s> </s>"] + [random_text(r, r.choice([5, 80, 1500])) for _ in range(40)]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)] + [(None, texts[9], 1, "x"), (7, texts[7], 1, "x")], "doc_id long, text string, chunk int, key string")
-    out = sc.encode_decode(spark, df, giant=150, chunk=70).collect()
+    out = sc.encode_decode(spark, df, giant=150, chunk=70, span=4).collect()
     assert len(out) == len(texts) + 2 and any(x.chunks > 3 for x in out)
     for x in out:
         t = (texts[9 if x.doc_id is None else x.doc_id]) or ""
