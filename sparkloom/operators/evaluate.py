@@ -5,10 +5,15 @@ Ranked lists are long tables (method, instance, pos from 1, item); gold sets are
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import numbered
+
 KS = (1, 3, 5)
+#: Bytes of lines that are broadcast and searched for at once.
+LINE_BYTES = 16 << 20
 
 
 def per_instance(ranked: DataFrame, gold: DataFrame, methods: list[str], ks: tuple = KS) -> DataFrame:
@@ -90,14 +95,47 @@ def stage_totals(stages: DataFrame) -> DataFrame:
     return stages.groupBy("instance").agg(F.sum("tokens").alias("tokens"), F.count_distinct("stage").alias("stages"))
 
 
-def leaks(added: DataFrame, texts: DataFrame) -> DataFrame:
+def leaks(added: DataFrame, texts: DataFrame, line_bytes: int = LINE_BYTES) -> DataFrame:
     """instance, line, n_texts: gold lines (instance, line) that occur in the instance's texts (instance, text).
 
-    Texts without the column instance are searched for the lines of all instances; the lines are broadcast then.
+    Texts without the column instance are searched for the lines of all instances, by an automaton
+    of about ``line_bytes`` of them at a time; each text is read once for each.
     """
-    found = F.contains(F.col("text"), F.col("line"))
-    pairs = added.join(texts, "instance").where(found) if "instance" in texts.columns else texts.join(F.broadcast(added), found)
-    return pairs.groupBy("instance", "line").agg(F.count("*").alias("n_texts"))
+    if "instance" in texts.columns:
+        return added.join(texts, "instance").where(F.contains(F.col("text"), F.col("line"))).groupBy("instance", "line").agg(F.count("*").alias("n_texts"))
+    lines = added.where("line <> ''").select("line").distinct()
+    total = lines.agg(F.coalesce(F.sum(F.octet_length("line")), F.lit(0))).first()[0]
+    parts = -(-total // line_bytes)
+    counts = None
+    for k in range(parts):
+        known = [r.line for r in lines.where(F.pmod(F.xxhash64("line"), F.lit(parts)) == k).collect()]
+        found = _occurrences(texts.select("text"), known)
+        counts = found if counts is None else counts.unionByName(found)
+    if counts is None:
+        return added.select("instance", "line", F.lit(0).cast("long").alias("n_texts")).limit(0)
+    return added.distinct().join(counts, "line").select("instance", "line", "n_texts")
+
+
+def _occurrences(texts: DataFrame, lines: list[str]) -> DataFrame:
+    """line, n_texts: how many texts hold each line, where any does."""
+    known = texts.sparkSession.sparkContext.broadcast(lines)
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for k, line in enumerate(known.value):
+            automaton.add_word(line, k)
+        automaton.make_automaton()
+        counts: dict[int, int] = {}
+        for batch in batches:
+            for text in batch.column(0):
+                if text.is_valid:
+                    for k in {k for _, k in automaton.iter(text.as_py())}:
+                        counts[k] = counts.get(k, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([known.value[k] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["line", "n"])
+
+    return texts.mapInArrow(run, "line string, n long").groupBy("line").agg(F.sum("n").alias("n_texts"))
 
 
 def keep_last(rows: DataFrame, key: str, order: str, *needed: str) -> DataFrame:
@@ -115,9 +153,4 @@ def shards(rows: DataFrame, key: str, workers: int) -> DataFrame:
 
     Positions come from counts of range partitions, not from one task that sees all rows.
     """
-    from pyspark.sql import Window as W
-
-    ranged = rows.repartitionByRange(F.col(key)).withColumn("part", F.spark_partition_id())
-    own = ranged.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy(key)))
-    counts = own.groupBy("part").agg(F.max("k").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return own.join(counts.select("part", "before"), "part").withColumn("shard", F.pmod(F.col("before") + F.col("k") - 1, F.lit(workers))).drop("part", "k", "before")
+    return numbered(rows, "_place", key).withColumn("shard", F.pmod("_place", F.lit(workers))).drop("_place")

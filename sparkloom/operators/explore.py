@@ -26,18 +26,20 @@ def registry(graph: G.PropertyGraph) -> dict[str, Callable]:
 
 
 def validate_calls(text: str, names: set[str]) -> tuple[list[tuple[str, dict]], list[str]]:
-    """(calls, issues): well-formed calls of known tools, and a line for each other entry."""
+    """(calls, issues): calls of known tools, and a line for each other entry. A call is {"function": {"name": ..., "arguments": {...}}}."""
     calls, issues = [], []
     for entry in python_json(text):
-        f = entry.get("function")
-        if not isinstance(f, str):
+        f = entry.get("function", {}) if isinstance(entry, dict) else None
+        if not isinstance(f, dict):
+            issues.append("an entry whose function isn't an object")
+        elif not f.get("name"):
             issues.append("an entry without a function name")
-        elif f not in names:
-            issues.append(f"unknown function {f}")
-        elif not isinstance(entry.get("arguments", {}), dict):
-            issues.append(f"{f}: arguments must be an object")
+        elif f["name"] not in names:
+            issues.append(f"unknown function {f['name']}")
+        elif not isinstance(f.get("arguments", {}), dict):
+            issues.append(f"{f['name']}: arguments must be an object")
         else:
-            calls.append((f, entry.get("arguments", {})))
+            calls.append((f["name"], f.get("arguments", {})))
     return calls, issues
 
 
@@ -62,7 +64,7 @@ class Exploration:
     log: list = field(default_factory=list)
 
 
-FEEDBACK = ("Answer with JSON tool calls only.", "Each call needs a function and arguments.", "Use only the functions listed above.")
+FEEDBACK = ("Answer with JSON tool calls only.", "Each call is an object whose function has a name and arguments.", "Use only the functions listed above.")
 
 
 def explore(ask: Callable[[list[str], float], str], tools: dict[str, Callable], question: str, max_rounds: int = 20, max_calls: int = 50, temperature: float = 0.0, done: str = "DONE") -> Exploration:

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import requirement
 from .graph import PropertyGraph
+from .lineage import numbered
 
 #: Folders whose files are never read (fixed values).
-SKIPPED_FOLDERS = (".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", "build", "dist")
+SKIPPED_FOLDERS = (".git", "__pycache__", ".venv", ".venv_alpine", "node_modules", ".mypy_cache", ".pytest_cache", "htmlcov", "build", "dist", ".eggs", ".tox")
 FACTS = "path string, seq long, kind string, id string, label string, source string, target string, name string, owner string, line_start long, line_end long, props map<string,string>"
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Assert, ast.comprehension)
 
@@ -277,14 +278,14 @@ def build_graph(files: DataFrame, requirements: DataFrame | None = None) -> tupl
     if requirements is not None:
         deps = dependencies(requirements)
         nodes = nodes.unionByName(deps.select(F.concat(F.lit("Dependency-"), "name").alias("id"), F.col("name").alias("label"), F.map_filter(F.create_map(F.lit("meta_type"), F.lit("Dependency"), F.lit("name"), F.col("name"), F.lit("version"), F.col("version")), lambda k, v: v.isNotNull()).alias("props"), F.concat(F.lit("2"), "name").alias("k1"), F.lit(0).cast("long").alias("seq")))
-        names = deps.agg(F.collect_list("name").alias("names"))  # one file's lines
+        names = deps.agg(F.array_sort(F.collect_list("name")).alias("names"))  # one row: the lines of one file
         edges = edges.unionByName(files.join(F.broadcast(names)).select(F.concat(F.lit("File-"), "path").alias("source"), F.explode("names").alias("n")).select("source", F.concat(F.lit("Dependency-"), "n").alias("target"), F.lit("DEPENDS_ON").alias("label")))
-    # Order by folder, file and place in the file, as one comparable string: no global sort is needed.
-    nodes = nodes.select("id", "label", F.col("props")["meta_type"].alias("meta_type"), "props", F.concat_ws("/", "k1", F.lpad(F.col("seq").cast("string"), 9, "0"), "id").alias("ord"))
+    # Numbered by folder, file and place in the file.
+    nodes = numbered(nodes.select("id", "label", F.col("props")["meta_type"].alias("meta_type"), "props", "k1", "seq"), "ord", "k1", "seq", "id").drop("k1", "seq")
     for rel, df in (("CALLS", resolve_calls(facts, nodes)), ("IMPORTS", resolve_imports(facts, nodes)), ("INHERITS", resolve_bases(facts, nodes))):
         edges = edges.unionByName(df.withColumn("label", F.lit(rel)))
     edges = edges.distinct().withColumn("id", F.concat_ws("-", "source", "label", "target"))
-    edges = edges.select("id", "label", "source", "target", empty.alias("props"), F.col("id").alias("ord"))
+    edges = numbered(edges.select("id", "label", "source", "target", empty.alias("props")), "ord", "id")
     return PropertyGraph(nodes, edges), facts.where("kind = 'error'").select("path", F.col("name").alias("error"), F.col("label").alias("detail"))
 
 

@@ -19,7 +19,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: fl
     """query_id, doc_id, score (6 places), rank: the k best documents of each query; ties by doc_id.
 
     docs: doc_id, text; queries: query_id, text. Lengths and frequencies are counted over all
-    documents, but only the queries' terms are exploded into rows: the rest of a text stays an array.
+    documents. Each word of a text becomes a row, and those of no query go in the same stage where the
+    queries' terms are few enough for a broadcast join; only the queries' terms are shuffled then.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms())).alias("term"))
     held = docs.select("doc_id", terms().alias("words"))

@@ -30,15 +30,23 @@ def search_replace(text: str) -> list[tuple[str, str, str]]:
 
 
 def apply_search_replace(content: str, search: str, replace: str) -> str | None:
-    """content with the one window of whole lines that equals search replaced; None if there's none, several, or search is empty."""
-    want = search.split("\n")
-    if not search.strip():
+    """content with the one window of whole lines that equals search replaced; None if there's none, several, or search has no line.
+
+    Lines end as str.splitlines sees them. The content's own line ends stay, and new lines get a line feed.
+    """
+    want = search.splitlines()
+    if not want:
         return None
-    lines = content.split("\n")
-    at = [k for k in range(len(lines) - len(want) + 1) if lines[k : k + len(want)] == want]
+    lines = content.splitlines(keepends=True)
+    bare = content.splitlines()
+    at = [k for k in range(len(bare) - len(want) + 1) if bare[k] == want[0] and bare[k : k + len(want)] == want]
     if len(at) != 1:
         return None
-    return "\n".join(lines[: at[0]] + (replace.split("\n") if replace else []) + lines[at[0] + len(want) :])
+    first, last = at[0], at[0] + len(want)
+    new = "".join(x + "\n" for x in replace.splitlines())
+    if last == len(lines) and lines[-1] == bare[-1]:
+        new = new.removesuffix("\n")  # the content's last line has no end either
+    return "".join(lines[:first]) + new + "".join(lines[last:])
 
 
 def node_edits(text: str) -> list[tuple[str, str, str]]:
@@ -77,20 +85,24 @@ def synthesise(files: dict[str, str], edits: list[tuple[str, str, str]]) -> tupl
     return "".join(unified(p, files[p], now[p]) for p in sorted(files) if now[p] != files[p]), failed
 
 
-def synthesise_nodes(files: dict[str, str], edits: list[tuple[str, str, str]], index: dict[tuple[str, str], tuple[int, int, str]]) -> tuple[str, int]:
-    """The same for node edits; index: (name, path) -> (first line, last line, source). Line numbers are those of the unedited file, so edits run from the bottom up."""
+def synthesise_nodes(files: dict[str, str], edits: list[tuple[str, str, str]], index: dict[tuple[str, str], tuple[int, int, str]], rest: list[tuple[str, str, str]] = ()) -> tuple[str, int]:
+    """The same for node edits, in the answer's order, and then for search/replace edits (rest).
+
+    index: (name, path) -> (first line, last line, source), as in the unedited file. An edit whose lines
+    no longer are that source, because an earlier one has moved them, fails like any other drift.
+    """
     now, failed = dict(files), 0
-    found = []
     for name, path, code in edits:
         span = index.get((name, path))
-        if span is None or path not in now:
-            failed += 1
-        else:
-            found.append((path, *span, code))
-    for path, start, end, source, code in sorted(found, key=lambda x: (x[0], -x[1])):
-        done = replace_lines(now[path], start, end, source, code)
+        done = replace_lines(now[path], *span, code) if span is not None and path in now else None
         failed += done is None
-        now[path] = done if done is not None else now[path]
+        if done is not None:
+            now[path] = done
+    for path, search, replace in rest:
+        done = apply_search_replace(now[path], search, replace) if path in now else None
+        failed += done is None
+        if done is not None:
+            now[path] = done
     return "".join(unified(p, files[p], now[p]) for p in sorted(files) if now[p] != files[p]), failed
 
 
@@ -118,16 +130,19 @@ class Hunk:
 
 def hunks(patch: str) -> list[Hunk]:
     """Hunks of a git diff. A new file's are marked, deleted files go by their old name, binary files have none."""
-    out, old, new, file = [], None, None, None
+    out, old, new, file, binary = [], None, None, None, False
     for line in (patch or "").split("\n"):
         if line.startswith("diff --git"):
             old = new = file = None
+            binary = False
+        elif line.startswith("GIT binary patch"):
+            binary = True
         elif line.startswith("--- ") and (m := re.match(r"--- (?:a/)?(.+?)\s*$", line)):
-            old = m[1]
+            old, binary = m[1], False
         elif line.startswith("+++ ") and (m := re.match(r"\+\+\+ (?:b/)?(.+?)\s*$", line)):
             new = m[1]
             file = old if new == "/dev/null" else new
-        elif file and (m := _HUNK.match(line)):
+        elif file and not binary and (m := _HUNK.match(line)):
             start, count = int(m[1]), int(m[2]) if m[2] is not None else 1
             out.append(Hunk(file, start, start + max(count, 1) - 1, count, old == "/dev/null"))
     return out

@@ -70,7 +70,7 @@ def stray_properties(graph: PropertyGraph, ids: DataFrame) -> DataFrame:
 def mandatory(graph: PropertyGraph, rules: DataFrame) -> DataFrame:
     """Nodes that lack a mandatory property. rules: meta_type, key, mandatory as text ("true" counts)."""
     need = rules.where(F.lower("mandatory") == "true").select("meta_type", "key")
-    rows = graph.nodes.join(F.broadcast(need), "meta_type").where(F.col("props")[F.col("key")].isNull())
+    rows = graph.nodes.join(need, "meta_type").where(F.col("props")[F.col("key")].isNull())
     return _rows(rows, "data", "MISSING_REQUIRED_PROPERTY", "id", F.col("key"))
 
 
@@ -87,13 +87,13 @@ def value_type_ok(kind: Column, json_type: Column) -> Column:
 
 def property_types(values: DataFrame, rules: DataFrame) -> DataFrame:
     """Values (id, meta_type, key, json) whose JSON type isn't the declared one. rules: meta_type, key, data_type."""
-    rows = values.join(F.broadcast(rules), ["meta_type", "key"]).withColumn("found", F.schema_of_variant(F.try_parse_json("json")))
+    rows = values.join(rules, ["meta_type", "key"]).withColumn("found", F.schema_of_variant(F.try_parse_json("json")))
     return _rows(rows.where(~F.coalesce(value_type_ok(F.col("data_type"), F.col("found")), F.lit(False))), "data", "INVALID_PROPERTY_TYPE", "id", F.concat_ws(" ", "key", "found"))
 
 
 def patterns(graph: PropertyGraph, rules: DataFrame) -> DataFrame:
     """Property values that their pattern doesn't match from the start on. rules: meta_type, key, pattern."""
-    rows = graph.nodes.join(F.broadcast(rules), "meta_type").withColumn("value", F.col("props")[F.col("key")])
+    rows = graph.nodes.join(rules, "meta_type").withColumn("value", F.col("props")[F.col("key")])
     bad = rows.where("value is not null").where(~F.rlike(F.col("value"), F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")"))))
     return _rows(bad, "data", "PATTERN_VALIDATION_FAILED", "id", F.concat_ws("=", "key", "value"))
 
@@ -101,7 +101,7 @@ def patterns(graph: PropertyGraph, rules: DataFrame) -> DataFrame:
 def cardinality(graph: PropertyGraph, rules: DataFrame) -> DataFrame:
     """Nodes with too few or too many outgoing edges of a label. rules: meta_type, label, min_count, max_count (null: no limit)."""
     counts = graph.edges.groupBy(F.col("source").alias("id"), "label").agg(F.count("*").alias("n"))
-    rows = graph.nodes.select("id", "meta_type").join(F.broadcast(rules), "meta_type").join(counts, ["id", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = graph.nodes.select("id", "meta_type").join(rules, "meta_type").join(counts, ["id", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     error = F.when(F.col("n") < F.col("min_count"), "CARDINALITY_VIOLATION_MIN").when(F.col("n") > F.col("max_count"), "CARDINALITY_VIOLATION_MAX")
     return _rows(rows.withColumn("error", error).where("error is not null"), "data", F.col("error"), "id", F.concat_ws(" ", "label", "n"))
 

@@ -16,51 +16,71 @@ from ..functions.text import cache_key
 #: Types that carry no text of their own worth embedding.
 SKIPPED = ("Exception", "TypeAnnotation", "Dependency", "Directory")
 
+#: Queries that are broadcast or stand in one block, and vectors of a block.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 65_536
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, meta_type: str | None = None, decimals: int | None = 4) -> DataFrame:
+def _unit(column) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the non-zero rows of a column of arrays, and which rows those are."""
+    m = np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 1))
+    n = np.linalg.norm(m, axis=1)
+    keep = np.isfinite(n) & (n > 0)
+    return m[keep] / n[keep, None], keep
+
+
+def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of v for each row of q, ties by id; products are made for some rows of q at a time."""
+    parts = [pd.DataFrame({"query_id": q_ids[:0], "id": ids[:0], "similarity": np.zeros(0)})]
+    step = max(1, (1 << 22) // max(len(v), 1))
+    for a in range(0, len(q) if len(v) else 0, step):
+        for own, sims in zip(q_ids[a : a + step], q[a : a + step] @ v.T):
+            near = np.flatnonzero(sims >= np.partition(sims, len(sims) - k)[len(sims) - k]) if len(sims) > k else np.arange(len(sims))
+            top = near[np.lexsort((ids[near], -sims[near]))[:k]]
+            parts.append(pd.DataFrame({"query_id": own, "id": ids[top], "similarity": sims[top]}))
+    return pd.concat(parts)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, meta_type: str | None = None, decimals: int | None = 4, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """query_id, id, similarity, rank: the k nearest vectors by cosine, ties by id.
 
-    vectors: id, embedding, and meta_type if filtered by; queries: query_id, embedding, broadcast,
-    a stated set of queries. Each partition's best k of a query are found while it is scanned, so k
-    rows a partition and query are shuffled. A zero vector is near nothing.
+    vectors: id, embedding, and meta_type if filtered by; queries: query_id, embedding, a stated set
+    of queries. Up to ``query_block`` queries (by count) are broadcast, and each batch of vectors gives
+    its best k of a query. Beyond that, both sides are dealt to blocks, and each pair of blocks gives its
+    best k. A null or zero vector is near nothing.
     """
     if meta_type is not None:
         vectors = vectors.where(F.col("meta_type") == meta_type)
-    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("e")).collect()
-    spark = vectors.sparkSession
-    ids = [r.query_id for r in rows]
-    block = np.array([r.e for r in rows], np.float64).reshape(len(rows), -1)
-    norms = np.linalg.norm(block, axis=1, keepdims=True)
-    block = np.divide(block, norms, out=np.zeros_like(block), where=norms > 0)
-    known = spark.sparkContext.broadcast((ids, block))
+    vectors = vectors.where("embedding is not null").select("id", "embedding")
+    queries = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("e"))
     kind, qkind = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-
-    def near(batches):
-        ids, block = known.value
-        best = None
-        for pdf in batches:
-            pdf = pdf[pdf.embedding.notna()]
-            if not len(pdf) or not len(ids):
-                continue
-            m = np.stack(pdf.embedding.to_numpy()).astype(np.float64)
-            n = np.linalg.norm(m, axis=1, keepdims=True)
-            keep = n[:, 0] > 0
-            sims = block @ (m[keep] / n[keep]).T
-            own = pdf.id.to_numpy()[keep]
-            parts = []
-            for q in range(len(ids)):
-                top = np.lexsort((own, -sims[q]))[:k]
-                parts.append(pd.DataFrame({"query_id": ids[q], "id": own[top], "similarity": sims[q][top]}))
-            now = pd.concat(parts + ([best] if best is not None else []))
-            best = now.sort_values(["similarity", "id"], ascending=[False, True]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
-
-    found = vectors.select("id", "embedding").mapInPandas(near, f"query_id {qkind}, id {kind}, similarity double")
+    schema = f"query_id {qkind}, id {kind}, similarity double"
+    n = queries.limit(query_block + 1).count()
+    if n <= query_block:
+        rows = queries.toPandas()
+        q, good = _unit(rows.e)
+        known = vectors.sparkSession.sparkContext.broadcast((rows.query_id.to_numpy()[good], q))
+
+        def near(batches):
+            for pdf in batches:
+                v, keep = _unit(pdf.embedding)
+                yield _nearest(*known.value, pdf.id.to_numpy()[keep], v, k)
+
+        found = vectors.mapInPandas(near, schema)
+    else:
+        nq, nv = -(-queries.count() // query_block), -(-vectors.count() // vector_block)
+        every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(m, 1) - 1).cast("long")))
+        left = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(max(nv, 1))).alias("vb"), every(nq).alias("qb"))
+        right = queries.select("query_id", "e", F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("qb"), every(nv).alias("vb"))
+
+        def pair(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+            (v, keep), (q, good) = _unit(vs.embedding), _unit(qs.e)
+            return _nearest(qs.query_id.to_numpy()[good], q, vs.id.to_numpy()[keep], v, k)
+
+        found = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(pair, schema)
     value = F.round("similarity", decimals) if decimals is not None else F.col("similarity")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("similarity", value)

@@ -13,6 +13,8 @@ from .graph import PropertyGraph
 #: Property keys that name files of the store, and those that only look like it (fixed values).
 STORE_KEYS, NOT_STORE_KEYS = ("store", "code_path", "description_tex"), ("relative_path", "module_path")
 STORE_SUFFIXES = ("_path", "_file", "_tex")
+#: Errors of a refused update that come to the driver; the rest stay in a table.
+SHOWN_ERRORS = 1000
 
 
 @dataclass
@@ -37,6 +39,8 @@ class Result:
     errors: list = field(default_factory=list)
     graph: PropertyGraph | None = None
     applied: dict = field(default_factory=dict)
+    n_errors: int = 0  #: of which ``errors`` holds the first SHOWN_ERRORS, and ``all_errors`` every one
+    all_errors: DataFrame | None = None
 
 
 def payload_errors(spark: SparkSession, nodes: list[dict], edges: list[dict], values: dict) -> list[tuple[str, str]]:
@@ -85,7 +89,8 @@ def update_graph(spark: SparkSession, graph: PropertyGraph, batch: Batch, verify
     """Deletes edges, nodes and values, then merges nodes, edges and values; commits if nothing is wrong.
 
     Deleting a node needs its edges to go in the same batch. An edge whose ends are missing, a value
-    of no element and a path outside the store are errors. verify: graph -> DataFrame of violations,
+    of no element and a path outside the store are errors. A refused update tells the first errors, how
+    many there are, and where to read them all. verify: graph -> DataFrame of violations,
     any of which undoes the update. Repeated ids in a batch are updates of the first.
     """
     nodes, edges = graph.nodes, graph.edges
@@ -133,11 +138,14 @@ def update_graph(spark: SparkSession, graph: PropertyGraph, batch: Batch, verify
         nodes, edges = merged(nodes), merged(edges)
     nodes = nodes.withColumn("meta_type", F.coalesce(F.nullif(F.col("props")["origin_type"], F.lit("")), F.nullif(F.col("props")["meta_type"], F.lit("")), "meta_type"))
     after = PropertyGraph(nodes.select(*graph.nodes.columns), edges.select(*graph.edges.columns))
-    found = reduce(DataFrame.unionByName, errors).distinct().orderBy("code", "element_id").limit(1000).collect() if errors else []
-    if not found and verify is not None:
-        found = verify(after).select(F.col("error_type").alias("code"), "element_id").limit(1000).collect()
-    if found:
-        return Result("unsat", False, [tuple(r) for r in found], graph)
+    faults = reduce(DataFrame.unionByName, errors).distinct() if errors else None
+    n = faults.count() if faults is not None else 0
+    if not n and verify is not None:
+        faults = verify(after).select(F.col("error_type").alias("code"), "element_id")
+        n = faults.count()
+    if n:
+        shown = faults.orderBy("code", "element_id").limit(SHOWN_ERRORS).collect()
+        return Result("unsat", False, [tuple(r) for r in shown], graph, n_errors=n, all_errors=faults)
     count = lambda df: df.count() if df is not None else 0
     applied = {"nodes": count(batch.nodes), "edges": count(batch.edges), "values": count(batch.values)}
     return Result("sat", True, [], after, applied)

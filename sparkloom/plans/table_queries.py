@@ -174,7 +174,7 @@ def gap_markers(spark, d):
 _HUNKS = "SELECT o_orderkey AS hunk_id, o_orderkey AS file, CAST(o_custkey % 40 AS BIGINT) + 1 AS h_start, CAST(o_custkey % 40 AS BIGINT) + o_orderkey % 3 AS h_end, o_orderkey % 3 AS count, o_orderkey % 11 = 0 AS is_new_file FROM orders"
 _NODES = f'SELECT k AS file, id AS node_id, "start" AS line_start, "end" AS line_end FROM ({_SPANS})'
 _IN = "CASE WHEN count = 0 THEN line_start <= h_start AND h_start < line_end ELSE line_start <= h_start AND h_end <= line_end END"
-_OVER = "CASE WHEN count = 0 THEN line_start <= h_start AND h_start < line_end ELSE h_start <= line_end AND line_start <= h_end END"
+_OVER = "CASE WHEN count = 0 THEN line_start <= h_start AND h_start <= line_end ELSE h_start <= line_end AND line_start <= h_end END"
 
 
 def hunks(spark, d):
@@ -188,7 +188,7 @@ def span_nodes(spark, d):
 
 for _how, _on in (("contains", _IN), ("overlaps", _OVER)):
 
-    @query(f"span_{_how}", f"WITH h AS ({_HUNKS}), n AS ({_NODES}) SELECT hunk_id, node_id, file FROM h JOIN n USING (file) WHERE {_on}")
+    @query(f"span_{_how}", f"WITH h AS ({_HUNKS}), n AS ({_NODES}) SELECT hunk_id, node_id, file FROM h JOIN n USING (file) WHERE NOT is_new_file AND {_on}")
     def span_join(spark, d, how=_how):
         return S.hunk_nodes(hunks(spark, d), span_nodes(spark, d), how)
 
@@ -258,17 +258,9 @@ def bm25_topk(spark, d):
     return R.bm25(read(spark, d, "documents"), asked).select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
-@query("leak_audit", "WITH l AS (SELECT item_id AS instance, left(text, 60) AS line FROM benchmark) SELECT l.line, count(*) AS n_texts FROM l JOIN documents d ON contains(d.text, l.line) GROUP BY ALL")
-def leak_audit(spark, d):
-    # Benchmark lines are a bounded list, so they are broadcast and each text is read once.
-    lines = read(spark, d, "benchmark").select(F.left("text", F.lit(60)).alias("line"))
-    docs = read(spark, d, "documents").select("text")
-    return docs.join(F.broadcast(lines), F.contains(F.col("text"), F.col("line"))).groupBy("line").agg(F.count("*").alias("n_texts"))
-
-
 @query("leak_audit_lines", r"WITH l AS (SELECT DISTINCT item_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 8)) AS line FROM benchmark) SELECT l.item_id, l.line, count(*) AS n_texts FROM l JOIN documents d ON contains(d.text, l.line) GROUP BY ALL")
 def leak_audit_lines(spark, d):
-    """All lines of the benchmark's items, whole; leak_audit looks for the first 60 characters of each item only."""
+    """All lines of the benchmark's items, whole, and how many documents hold each."""
     lines = read(spark, d, "benchmark").select(F.col("item_id").alias("instance"), F.explode(T.stripped_lines(F.col("text"), 8)).alias("line"))
     return E.leaks(lines, read(spark, d, "documents").select("text")).withColumnRenamed("instance", "item_id")
 

@@ -15,6 +15,11 @@ RETRIEVAL = "instance_id string, hits array<struct<docid: string, score: double>
 RERANK = "instance_id string, model string, ranked_files array<string>, failed boolean, n_files int, n_comparisons int"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def _text(json_value: Column) -> Column:
     """A JSON value as comparisons see it: booleans as True and False, strings without quotes."""
     return F.when(json_value == "true", "True").when(json_value == "false", "False").when(json_value.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), json_value, F.lit("}")), "$.v")).otherwise(json_value)
@@ -129,9 +134,9 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def markdown(rows: DataFrame, columns: list[str], order: list[str]) -> str:
-    """A report's rows as a Markdown table; a report is a page long."""
+    """A report's rows as a Markdown table, all of them, fetched a partition at a time."""
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    for r in rows.orderBy(*order).limit(1000).collect():
+    for r in rows.orderBy(*order).toLocalIterator():
         lines.append("| " + " | ".join("-" if r[c] is None else f"{r[c]:.4g}" if isinstance(r[c], float) else str(r[c]) for c in columns) + " |")
     return "\n".join(lines) + "\n"
 

@@ -24,6 +24,7 @@ def keep_latest(rows: DataFrame, key: str, order: str, path: str, checkpoint: st
     """A table with the latest row of each key under ``path``/v<batch>: each batch merges into the last version.
 
     A batch that is run again after a failure writes the same version anew from the same one before.
+    The last two versions are kept. Each batch rewrites the table, so batches should be large.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
@@ -33,6 +34,9 @@ def keep_latest(rows: DataFrame, key: str, order: str, path: str, checkpoint: st
             new = spark.read.schema(batch.schema).parquet(f"{path}/v{epoch - 1}").unionByName(batch)
         columns = F.struct(*[F.col(c) for c in batch.columns])
         new.groupBy(key).agg(F.max_by(columns, order).alias("r")).select("r.*").write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        if epoch > 1:  # the version before stays, in case this batch runs again
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{epoch - 2}")
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -67,8 +71,8 @@ def embed_new(items: DataFrame, cache_path: str, dim: int, checkpoint: str, prov
         spark = batch.sparkSession
         schema = "key string, vector array<float>"
         earlier = spark.createDataFrame([], schema)
-        for k in range(epoch):
-            earlier = earlier.unionByName(spark.read.schema(schema).parquet(f"{cache_path}/batch={k}"))
+        if epoch:  # one read of all folders; the filter prunes a later one of a batch that runs again
+            earlier = spark.read.schema(f"{schema}, batch long").parquet(cache_path).where(F.col("batch") < epoch).select("key", "vector")
         _, misses = cache_split(batch, earlier, dim)
         embed(misses, dim, provider).write.mode("overwrite").parquet(f"{cache_path}/batch={epoch}")
 

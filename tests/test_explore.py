@@ -12,5 +12,5 @@ def test_tools_give_all_of_a_hub(spark):
     assert [x["node_ids"] for x in tools["traverse"](start_id="hub", max_depth=1)] == [["hub", i] for i in ids]
     assert [x["id"] for x in tools["search_elements"](kind="node")] == ["hub", *ids]
     assert len(tools["search_elements"](kind="node", limit=3)) == len(tools["traverse"](start_id="hub", max_depth=1, limit_paths=3)) == 3
-    answers = iter(['{"function": "get_neighbors", "arguments": {"id": "hub"}}', "DONE"])
+    answers = iter(['{"function": {"name": "get_neighbors", "arguments": {"id": "hub"}}}', "DONE"])
     assert set(X.explore(lambda talk, t: next(answers), tools, "what?").touched) == set(ids)

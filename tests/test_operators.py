@@ -170,7 +170,7 @@ async def main() -> None:
 
 
 def test_extract(spark):
-    files = spark.createDataFrame([("main.py", MAIN), ("pkg/util.py", "class Tool:\n    pass\n\ndef helper(x):\n    return [i for i in x if i]\n"), ("bad.py", "def ("), ("venv/x.py", "a = 1"), ("r.txt", "")], "path string, content string")
+    files = spark.createDataFrame([("main.py", MAIN), ("pkg/util.py", "class Tool:\n    pass\n\ndef helper(x):\n    return [i for i in x if i]\n"), ("bad.py", "def ("), (".venv_alpine/x.py", "a = 1"), ("r.txt", "")], "path string, content string")
     deps = spark.createDataFrame([("click>=8.0",), ("# no",), ("",)], "line string")
     g, errors = XT.build_graph(files, deps)
     nodes = {r.id: r for r in g.nodes.collect()}
@@ -178,6 +178,10 @@ def test_extract(spark):
     assert [r.path for r in errors.collect()] == ["bad.py"]
     assert {"Directory-.", "Directory-pkg", "File-main.py", "Class-main.py-App", "Method-main.py-App-run", "Function-main.py-main", "Variable-File-main.py-VERSION", "Variable-Class-main.py-App-size", "Decorator-Method-main.py-App-run-property", "Import-File-main.py-0", "Dependency-click", "Exception-KeyError", "TypeAnnotation-int"} <= set(nodes)
     assert not any("venv" in i or "r.txt" in i for i in nodes)
+    assert [r.ord for r in g.nodes.orderBy("ord").collect()] == list(range(len(nodes))) and g.nodes.schema["ord"].dataType.simpleString() == "bigint"
+    more = WR.Batch(nodes=spark.createDataFrame([("n", "N")], "id string, label string"), edges=spark.createDataFrame([("e", "R", "n", "File-main.py")], "id string, label string, source string, target string"))
+    done = WR.update_graph(spark, g, more)
+    assert done.committed and {r.id for r in done.graph.nodes.collect()} == set(nodes) | {"n"} and done.graph.edges.count() == len(edges) + 1
     run = nodes["Method-main.py-App-run"].props
     assert run["docstring"] == "Runs." and run["complexity"] == "5" and run["line_start"] == "10" and "source_code" in run
     assert nodes["Function-main.py-main"].props["is_async"] == "True" and nodes["Function-main.py-main"].props["return_type"] == "None"
@@ -190,7 +194,7 @@ def test_context(spark):
     files = spark.createDataFrame([("i", "a.py", "\n".join(f"l{k}" for k in range(1, 31))), ("i", "b.py", "x")], "instance string, path string, content string")
     ranked = spark.createDataFrame([("i", "a.py", 1), ("i", "b.py", 2), ("i", "none.py", 3)], "instance string, path string, rank int")
     full = C.file_level(ranked, files, issues).first().context
-    assert "[start of a.py]\nl1\n" in full and "[start of none.py]\n\n[end" in full and full.index("a.py") < full.index("b.py")
+    assert "[start of a.py]\nl1\n" in full and "none.py" not in full and full.index("a.py") < full.index("b.py")
     spans = spark.createDataFrame([("i", "a.py", 0, 5, 6), ("i", "a.py", 1, 20, 20), ("i", "b.py", 2, 1, 1)], "instance string, path string, seq int, start long, end long")
     text = C.file_snippets(spans, files, issues, 10_000, pad=1).first().context
     assert "4 l4\n5 l5\n6 l6\n7 l7\n(11 lines omitted)\n19 l19" in text and "1 x" in text
@@ -199,18 +203,22 @@ def test_context(spark):
     text = C.node_sources(nodes, spark.createDataFrame([("C-a", "CALLS f")], "id string, text string"), issues, 1000).first().context
     assert "## Class a lines 1-3\n## CALLS f\n1 c\n2 d" in text and "Method" not in text
     out = C.gold_files(ranked, files, issues, 30).first()
-    assert out.dropped == ["b.py", "none.py"] or out.dropped == []
+    assert out.dropped == ["b.py", "none.py"]  # missing files are told
+    assert C.gold_files(ranked, files, issues, 40).first().dropped == ["none.py"]
+    first = C.gold_files(ranked.where("rank >= 2").withColumn("rank", 4 - F.col("rank")), files, issues, 0).first()
+    assert first.dropped == ["none.py"] and "[start of b.py]" in first.context  # the first file that is there is exempt
     assert C.mode("nothing") is C.file_level
 
 
 def test_explore(spark):
     g = G.from_rows(spark, [("a", "A"), ("b", "B")], [("e", "R", "a", "b")], {"a": {"meta_type": "X"}})
-    answers = iter(["no calls here", '{"function": "get_neighbors", "arguments": {"id": "a"}}', '{"function": "get_element", "arguments": {"id": "zz"}}', "DONE"])
+    answers = iter(["no calls here", '{"function": {"name": "get_neighbors", "arguments": {"id": "a"}}}', '{"function": {"name": "get_element", "arguments": {"id": "zz"}}}', "DONE"])
     heats = []
     state = X.explore(lambda talk, t: heats.append(t) or next(answers), X.registry(g), "why?")
     assert list(state.touched) == ["b"] and state.calls == 2 and state.rejections == 1 and heats[:2] == [0.0, 0.15]
     assert state.log[1][2]  # the unknown element was an error, not an end
-    assert X.validate_calls('[{"function": "f", "arguments": 3}, {"x": 1}, {"function": "q"}]', {"f"})[0] == []
+    assert X.validate_calls('[{"function": {"name": "f", "arguments": 3}}, {"x": 1}, {"function": {"name": "q"}}, {"function": "f", "arguments": {}}]', {"f"})[0] == []
+    assert X.validate_calls('[{"function": {"name": "f", "arguments": {"a": 1}}}, {"function": {"name": "f"}}]', {"f"}) == ([("f", {"a": 1}), ("f", {})], [])
 
 
 def test_vectors(spark):
@@ -223,6 +231,10 @@ def test_vectors(spark):
     e = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 0.0]), ("z", [1.0, 1.0])], "id string, embedding array<double>")
     got = V.knn(e, spark.createDataFrame([("q", [2.0, 0.0])], "query_id string, embedding array<double>"), 5).orderBy("rank").collect()
     assert [(r.id, r.similarity) for r in got] == [("x", 1.0), ("z", 0.7071)]
+    many = spark.range(300).select(F.col("id"), F.array(*[F.cos(F.col("id") * k) for k in range(1, 6)]).alias("embedding"))
+    asked = many.where("id % 7 = 0").select(F.col("id").alias("query_id"), "embedding")
+    by_blocks = V.knn(many, asked, 4, query_block=10, vector_block=60)
+    assert sorted(map(tuple, by_blocks.collect())) == sorted(map(tuple, V.knn(many, asked, 4).collect()))
 
 
 def test_sources(spark, tmp_path):
