@@ -263,6 +263,51 @@ def first_failing_step(graph: PropertyGraph, starts: DataFrame, pattern: list) -
     return None
 
 
+def traverse_hint(graph: PropertyGraph, start: DataFrame, pattern: list, max_depth: int | None = None) -> DataFrame:
+    """depth, links array<struct<edge_label, direction, n>>, failing, message, edge_label, direction: why no path fits a pattern, a row a hop.
+
+    failing marks the first step whose label, or label with direction, isn't met at its hop; message
+    says so there, and on the first row that the steps don't fit in sequence if none fails.
+    edge_label and direction are the suggested step: the asked label as it is met, else the best link.
+    """
+    steps = normalise_pattern(pattern)
+    depth = max_depth or max(len(steps), 1)
+    links = links_per_hop(graph, start, depth)
+    order = F.struct((-F.col("n")).alias("k"), F.when(F.col("direction") == "out", 0).otherwise(1).alias("way"), "edge_label", "direction", "n")
+    hops = links.groupBy("depth").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: F.struct(x["edge_label"].alias("edge_label"), x["direction"].alias("direction"), x["n"].alias("n"))).alias("links"))
+    spark = graph.nodes.sparkSession
+    asked = spark.createDataFrame([(k + 1, s.get("edge_label"), s.get("direction")) for k, s in enumerate(steps)] or [(0, None, None)], "depth int, want string, way string")
+    rows = hops.join(asked, "depth", "left")
+    named = F.filter("links", lambda x: x["edge_label"] == F.col("want"))
+    no_label = F.col("want").isNotNull() & (F.size(named) == 0)
+    no_way = F.col("want").isNotNull() & F.col("way").isNotNull() & (F.size(named) > 0) & ~F.exists(named, lambda x: x["direction"] == F.col("way"))
+    offered = F.array_join(F.transform("links", lambda x: F.concat(x["edge_label"], F.lit(" ("), x["direction"], F.lit(", "), x["n"].cast("string"), F.lit(")"))), ", ")
+    text = F.when(no_label, F.concat(F.lit("step "), F.col("depth").cast("string"), F.lit(" asks for "), "want", F.lit(", its hop has only "), offered)).when(no_way, F.concat(F.lit("step "), F.col("depth").cast("string"), F.lit(" asks for "), "want", F.lit(" going "), "way", F.lit(", it only goes "), F.get(named, F.lit(0))["direction"]))
+    pick = F.when(F.size(named) > 0, F.get(named, F.lit(0))).otherwise(F.get("links", F.lit(0)))
+    rows = rows.select("depth", "links", text.alias("text"), pick.alias("pick"))
+    first = rows.agg(F.min(F.when(F.col("text").isNotNull(), F.col("depth"))).alias("first"))
+    failing = F.coalesce(F.col("depth") == F.col("first"), F.lit(False))
+    message = F.when(failing, F.col("text")).when(F.col("first").isNull() & (F.col("depth") == 1), "each step is met at its hop, but not one after another")
+    return rows.join(F.broadcast(first)).where(F.col("depth") <= max(len(steps), 1)).select("depth", "links", failing.alias("failing"), message.alias("message"), "pick.edge_label", "pick.direction")
+
+
+def file_of(graph: PropertyGraph, rule: str = "nearest") -> DataFrame:
+    """id, path: the file that contains each node, by CONTAINS edges upward; nodes in no file are left out.
+
+    "nearest": the nearest File over all parents; its relative_path, else its label, else its id. "last":
+    of several parents only the last edge's counts, and a File without a relative_path isn't one. A
+    node's own File is itself.
+    """
+    path = F.nullif(F.col("props")["relative_path"], F.lit(""))
+    files = graph.nodes.where("meta_type = 'File'").select("id", (F.coalesce(path, F.nullif("label", F.lit("")), "id") if rule == "nearest" else path).alias("path")).where("path is not null")
+    edges = graph.edges.where("label = 'CONTAINS'")
+    if rule == "last":
+        edges = edges.groupBy("target").agg(F.max_by("source", "ord").alias("source")).select(F.lit("CONTAINS").alias("label"), "source", "target")
+    marked = graph.nodes.select("id", F.lit("other").alias("meta_type")).join(files, "id", "left_anti").unionByName(files.select("id", F.lit("File").alias("meta_type")))
+    found = find_connected(PropertyGraph(marked, edges), graph.nodes.select(F.col("id").alias("start")), "File", "CONTAINS")
+    return found.select(F.col("start").alias("node"), "id").join(files, "id").select(F.col("node").alias("id"), "path")
+
+
 def touched(events: DataFrame) -> DataFrame:
     """Accumulates touches (instance, seq, id, label, props): the latest non-empty label and value of each key win.
 

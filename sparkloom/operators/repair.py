@@ -111,7 +111,7 @@ def patches(instances: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            out = [synthesise(dict(f or {}), search_replace(a)) for a, f in zip(pdf.answer, pdf.files)]
+            out = [synthesise({k: v for k, v in dict(f or {}).items() if v is not None}, search_replace(a)) for a, f in zip(pdf.answer, pdf.files)]
             yield pd.DataFrame({"instance": pdf.instance, "patch": [p for p, _ in out], "failed": [n for _, n in out]})
 
     return instances.select("instance", "answer", "files").mapInPandas(run, "instance string, patch string, failed int")

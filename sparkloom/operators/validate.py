@@ -147,6 +147,44 @@ def meta_checks(meta: PropertyGraph) -> DataFrame:
     )
 
 
+def property_warnings(meta: PropertyGraph) -> DataFrame:
+    """HAS_PROPERTY constraints (property owners SOURCE-HAS_PROPERTY-KEY) whose source or key is no node: warnings, which fail nothing."""
+    owners = meta.edges.where(F.size("props") > 0).where(F.contains("id", F.lit("HAS_PROPERTY")) | F.contains("id", F.lit("has_property"))).select("id", F.split("id", "-").alias("p")).where(F.size("p") >= 3)
+    ends = owners.select("id", F.explode(F.array(F.struct(F.lit("node").alias("what"), F.col("p")[0].alias("name")), F.struct(F.lit("property").alias("what"), F.col("p")[2].alias("name")))).alias("x")).select("id", "x.*")
+    return _rows(ends.join(meta.nodes.select(F.col("id").alias("name")), "name", "left_anti"), "meta", "UNKNOWN_REFERENCE", "id", F.concat_ws(" ", "what", "name"))
+
+
+def id_signature(edge_id: Column) -> Column:
+    """struct(source, relation, target) of an edge id of three parts, or of four with HAS_PROPERTY as the second, whose third is the target then; else null."""
+    p = F.split(edge_id, "-")
+    fits = (F.size(p) == 3) | ((F.size(p) == 4) & (F.get(p, F.lit(1)) == "HAS_PROPERTY"))
+    return F.when(fits, F.struct(F.get(p, F.lit(0)).alias("source"), F.get(p, F.lit(1)).alias("relation"), F.get(p, F.lit(2)).alias("target")))
+
+
+def schema_text(meta: PropertyGraph) -> DataFrame:
+    """line: a meta graph as text, a line a type: node types with their sorted properties, then the other nodes that are no property types."""
+    kind = F.coalesce(F.col("meta_type"), F.lit(""))
+    props = meta.edges.where("label = 'HAS_PROPERTY'").groupBy(F.col("source").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("target")), ", ").alias("p"))
+    rows = meta.nodes.where(kind != "PropertyType").join(props, "id", "left")
+    text = F.when(kind == "NodeType", F.concat(F.lit("node type "), "id", F.lit(": "), F.coalesce("p", F.lit("")))).otherwise(F.concat(F.lit("edge type "), "id"))
+    return rows.orderBy(F.when(kind == "NodeType", 0).otherwise(1), "ord").select(text.alias("line"))
+
+
+def cardinality_rules(meta: PropertyGraph) -> DataFrame:
+    """meta_type, label, min_count, max_count: count bounds on the first edge of a meta graph from a node type to an edge type; most schemas have none."""
+    n = meta.nodes.select("id", "meta_type", "label")
+    e = meta.edges.join(n.where("meta_type = 'NodeType'").select(F.col("id").alias("source"), F.col("label").alias("type")), "source").join(n.where("meta_type = 'EdgeType'").select(F.col("id").alias("target"), F.col("label").alias("edge_type")), "target")
+    bound = lambda k: F.expr(f"try_cast(props['{k}'] as int)").alias(k)
+    first = e.groupBy(F.col("type").alias("meta_type"), F.col("edge_type").alias("label")).agg(F.min_by("props", "ord").alias("props"))
+    return first.select("meta_type", "label", bound("minCount"), bound("maxCount")).toDF("meta_type", "label", "min_count", "max_count").where("min_count is not null or max_count is not null")
+
+
+def first_error(violations: DataFrame) -> str:
+    """The first violation as a line, '' if there is none."""
+    row = violations.orderBy("level", "error_type", "element_id", "detail").first()
+    return f"{row.error_type} ({row.level}): {row.element_id}: {row.detail}" if row else ""
+
+
 def bad_patterns(spark, patterns: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """(element_id, pattern) of a schema's patterns that don't compile. A schema is a small list."""
     import re

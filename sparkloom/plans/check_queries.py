@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import explore, extract, repair
+from ..operators import builder, explore, extract, repair
 from ..operators import graph as G
 from ..operators import spans as S
 from ..operators import validate as VA
@@ -118,12 +118,25 @@ def _built(spark):
     return extract.build_graph(files, spark.createDataFrame([("click>=8.0",), ("# none",)], "line string"))
 
 
-@query("graph_build_nodes")
+_BUILT_NODES = """VALUES ('Class-app/main.py-App', 'App', 'Class'), ('Class-app/util.py-Tool', 'Tool', 'Class'), ('Dependency-click', 'click', 'Dependency'), ('Directory-.', '.', 'Directory'), ('Directory-app', 'app', 'Directory'),
+('Exception-KeyError', 'KeyError', 'Exception'), ('Exception-ValueError', 'ValueError', 'Exception'), ('File-app/bad.py', 'bad.py', 'File'), ('File-app/main.py', 'main.py', 'File'), ('File-app/util.py', 'util.py', 'File'),
+('Function-app/util.py-helper', 'helper', 'Function'), ('Import-File-app/main.py-0', 'os', 'Import'), ('Import-File-app/main.py-1', 'helper', 'Import'), ('Import-File-app/main.py-2', 'Tool', 'Import'),
+('Method-app/main.py-App-run', 'run', 'Method'), ('Method-app/main.py-App-stop', 'stop', 'Method'), ('TypeAnnotation-int', 'int', 'TypeAnnotation'), ('Variable-File-app/main.py-LIMIT', 'LIMIT', 'Variable')"""
+_BUILT_EDGES = """VALUES ('Class-app/main.py-App', 'CONTAINS', 'Method-app/main.py-App-run'), ('Class-app/main.py-App', 'CONTAINS', 'Method-app/main.py-App-stop'), ('Class-app/main.py-App', 'INHERITS', 'Class-app/util.py-Tool'),
+('Directory-.', 'CONTAINS', 'Directory-app'), ('Directory-app', 'CONTAINS', 'File-app/bad.py'), ('Directory-app', 'CONTAINS', 'File-app/main.py'), ('Directory-app', 'CONTAINS', 'File-app/util.py'),
+('File-app/bad.py', 'DEPENDS_ON', 'Dependency-click'), ('File-app/main.py', 'DEPENDS_ON', 'Dependency-click'), ('File-app/util.py', 'DEPENDS_ON', 'Dependency-click'),
+('File-app/main.py', 'CONTAINS', 'Class-app/main.py-App'), ('File-app/main.py', 'CONTAINS', 'Import-File-app/main.py-0'), ('File-app/main.py', 'CONTAINS', 'Import-File-app/main.py-1'), ('File-app/main.py', 'CONTAINS', 'Import-File-app/main.py-2'), ('File-app/main.py', 'CONTAINS', 'Variable-File-app/main.py-LIMIT'),
+('File-app/main.py', 'IMPORTS', 'Class-app/util.py-Tool'), ('File-app/main.py', 'IMPORTS', 'Function-app/util.py-helper'), ('File-app/util.py', 'CONTAINS', 'Class-app/util.py-Tool'), ('File-app/util.py', 'CONTAINS', 'Function-app/util.py-helper'),
+('Method-app/main.py-App-run', 'CALLS', 'Function-app/util.py-helper'), ('Method-app/main.py-App-run', 'CALLS', 'Method-app/main.py-App-stop'), ('Method-app/main.py-App-run', 'CATCHES', 'Exception-KeyError'), ('Method-app/main.py-App-run', 'RAISES', 'Exception-ValueError'),
+('Variable-File-app/main.py-LIMIT', 'HAS_TYPE', 'TypeAnnotation-int')"""
+
+
+@query("graph_build_nodes", f"SELECT * FROM ({_BUILT_NODES}) AS v(id, label, meta_type)")
 def graph_build_nodes(spark, d):
     return _built(spark)[0].nodes.select("id", "label", "meta_type")
 
 
-@query("graph_build_edges")
+@query("graph_build_edges", f"SELECT source || '-' || label || '-' || target AS id, label, source, target FROM ({_BUILT_EDGES}) AS v(source, label, target)")
 def graph_build_edges(spark, d):
     return _built(spark)[0].edges.select("id", "label", "source", "target")
 
@@ -133,7 +146,12 @@ def graph_build_errors(spark, d):
     return _built(spark)[1].select("path", "error")
 
 
-@query("document_edits")
+_EDITED = r"""s AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS p, text FROM documents), l AS (SELECT doc_id, text, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS ls FROM s),
+e AS (SELECT doc_id, ls, least(len(ls), 4) AS m, text <> '' AND ls[1] <> '' AND len(list_filter(ls, lambda x: x = ls[1])) = 1 AS good FROM l)"""
+
+
+@query("document_edits", f"""WITH {_EDITED} SELECT CAST(doc_id AS VARCHAR) AS instance, CASE WHEN good THEN 'diff --git a/doc b/doc' || chr(10) || '--- a/doc' || chr(10) || '+++ b/doc' || chr(10) || CASE WHEN m = 1 THEN '@@ -1 +1 @@' ELSE '@@ -1,' || m || ' +1,' || m || ' @@' END || chr(10) || '-' || ls[1] || chr(10) || '+new first line' || chr(10)
+|| array_to_string(list_transform(ls[2:4], lambda x: ' ' || x || chr(10)), '') ELSE '' END AS patch, CASE WHEN good THEN 0 ELSE 1 END AS failed FROM e""")
 def document_edits(spark, d):
     """A patch for every document: its first line replaced, where that line stands alone once."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -143,11 +161,23 @@ def document_edits(spark, d):
     return repair.patches(rows)
 
 
-@query("patch_hunks")
+@query("patch_hunks", f"WITH {_EDITED} SELECT CAST(doc_id AS VARCHAR) AS instance, CAST(0 AS INTEGER) AS hunk_id, 'doc' AS file, CAST(1 AS BIGINT) AS h_start, CAST(m AS BIGINT) AS h_end, CAST(m AS BIGINT) AS count, false AS is_new_file FROM e WHERE good")
 def patch_hunks(spark, d):
     return repair.hunk_rows(document_edits(spark, d).select("instance", "patch"))
 
 
+@query("build_phases", f"SELECT (SELECT count(*) FROM ({_BUILT_NODES}) AS v(a, b, c)) AS nodes, (SELECT count(*) FROM ({_BUILT_EDGES}) AS v(a, b, c)) - 1 AS edges, 1 AS skipped, 'python:folders,python:sources,python:dependencies,python:links' AS ran, 0 AS errors")
+def build_phases(spark, d):
+    """The same sources by a schema's executors, phase by phase; one edge has a signature that the schema doesn't allow."""
+    files = spark.createDataFrame(_SOURCES, "path string, content string")
+    kinds = {"Directory": "python:folders", "File": "python:folders", "Function": "python:sources", "Dependency": "python:dependencies"}
+    meta = G.from_rows(spark, [(k, k) for k in (*kinds, "CALLS")], [], {k: {"meta_type": "NodeType", "executor": v} for k, v in kinds.items()} | {"CALLS": {"meta_type": "EdgeType", "executor": "python:links"}})
+    ran = builder.resolve(builder.schema_executors(meta))
+    allowed = spark.createDataFrame([("CALLS", "Method", "Method"), ("INHERITS", "Class", "Class")], "label string, source_type string, target_type string")
+    graph, told = builder.build(spark, files, sorted(ran, key=lambda e: (e.phase, e.name != "python:sources")), allowed, spark.createDataFrame([("click>=8.0",), ("# none",)], "line string"))
+    return spark.createDataFrame([(graph.nodes.count(), graph.edges.count(), told.skipped_edges, ",".join(e.name for e in sorted(ran, key=lambda e: (e.phase, e.name != "python:sources"))), len(told.errors))], "nodes long, edges long, skipped int, ran string, errors int")
+
+
 @query("set_cover")
 def set_cover(spark, d):
     """For each order, suppliers picked greedily to cover its parts, cheapest by balance."""

@@ -36,9 +36,9 @@ def graph_edges(spark, d):
     return tpch_graph(spark, d).edges.select("id", "label", "source", "target")
 
 
-@query("graph_search_label", "SELECT 'Part-' || p_partkey AS id, p_name AS label, count(*) OVER () AS total FROM part WHERE contains(lower(p_name), lower('1')) ")
+@query("graph_search_label", "SELECT 'Part-' || p_partkey AS id, p_name AS label, count(*) OVER () AS total FROM part WHERE contains(lower(p_name), lower('LA')) ")
 def graph_search_label(spark, d):
-    return G.search_elements(_nodes_only(spark, d, "Part"), "node", "Part", "1").select("id", "label", "total")
+    return G.search_elements(_nodes_only(spark, d, "Part"), "node", "Part", "LA").select("id", "label", "total")
 
 
 def _nodes_only(spark, d, *types):
@@ -107,16 +107,16 @@ def _joined(paths):
 
 
 _PATTERN = [{"edge_label": "BASED_IN", "direction": "in"}, {"edge_label": "SUPPLIES", "direction": "out"}]
-_PATTERN_SQL = f"""SELECT 'Nation-2' AS start, 'Nation-2>' || x.source || '>' || y.target AS nodes, x.id || '>' || y.id AS edges
-FROM edges x JOIN edges y ON y.source = x.source AND y.label = 'SUPPLIES' WHERE x.label = 'BASED_IN' AND x.target = 'Nation-2'"""
+_PATTERN_SQL = """SELECT 'Nation-2' AS start, 'Nation-2>Supplier-' || k || '>Part-' || p AS nodes, 'Supplier-' || k || '-BASED_IN-Nation-2>Supplier-' || k || '-SUPPLIES-Part-' || p AS edges
+FROM (SELECT s_suppkey AS k FROM supplier WHERE s_nationkey = 2) JOIN (SELECT DISTINCT l_suppkey AS k, l_partkey AS p FROM lineitem) USING (k)"""
 
 
-@query("graph_traverse_pattern", f"WITH {GRAPH} {_PATTERN_SQL}")
+@query("graph_traverse_pattern", _PATTERN_SQL)
 def graph_traverse_pattern(spark, d):
     return _joined(G.traverse(tpch_graph(spark, d, None, ("BASED_IN", "SUPPLIES")), ids(spark, "start", "Nation-2"), 2, _PATTERN))
 
 
-@query("graph_traverse_limit", f"WITH {GRAPH}, p AS ({_PATTERN_SQL}) SELECT start, nodes, edges FROM p ORDER BY string_split(edges, '>') LIMIT 25")
+@query("graph_traverse_limit", f"WITH p AS ({_PATTERN_SQL}) SELECT start, nodes, edges FROM p ORDER BY string_split(edges, '>') LIMIT 25")
 def graph_traverse_limit(spark, d):
     return _joined(G.traverse(tpch_graph(spark, d, None, ("BASED_IN", "SUPPLIES")), ids(spark, "start", "Nation-2"), 2, _PATTERN, 25))
 
@@ -170,7 +170,17 @@ def graph_best_link(spark, d):
     return G.best_link(G.links_per_hop(tpch_graph(spark, d), ids(spark, "start", "Region-1"), 3))
 
 
-@query("graph_traverse_hint", "SELECT CAST(2 AS INTEGER) AS failing_step")
+@query("traverse_hints", f"""WITH {_HOPS}, w AS (SELECT * FROM (VALUES (1, 'CONTAINS', 'in'), (2, 'BASED_IN', 'in'), (3, 'NOPE', NULL)) AS v(depth, want, way)),
+k AS (SELECT l.*, row_number() OVER (PARTITION BY l.depth ORDER BY CASE WHEN edge_label = want THEN 0 ELSE 1 END, n DESC, CASE direction WHEN 'out' THEN 0 ELSE 1 END, edge_label) AS k, count(*) FILTER (edge_label = want) OVER (PARTITION BY l.depth) AS same, count(*) FILTER (edge_label = want AND direction = way) OVER (PARTITION BY l.depth) AS fits FROM l JOIN w USING (depth)),
+b AS (SELECT depth, edge_label, direction, same = 0 OR (way IS NOT NULL AND fits = 0) AS bad FROM k JOIN w USING (depth) WHERE k = 1)
+SELECT depth, edge_label, direction, bad AND depth = (SELECT min(depth) FROM b WHERE bad) AS failing FROM b""")
+def traverse_hints(spark, d):
+    """Why no path from Region-1 fits a pattern whose first step goes the wrong way, and which steps would do."""
+    hint = G.traverse_hint(tpch_graph(spark, d), ids(spark, "start", "Region-1"), [{"edge_label": "CONTAINS", "direction": "in"}, {"edge_label": "BASED_IN", "direction": "in"}, "NOPE"])
+    return hint.select("depth", "edge_label", "direction", "failing")
+
+
+@query("graph_traverse_hint", "SELECT CAST(CASE WHEN EXISTS (SELECT 1 FROM nation WHERE n_regionkey = 0) THEN 2 ELSE 1 END AS INTEGER) AS failing_step")
 def graph_traverse_hint(spark, d):
     g = tpch_graph(spark, d, None, ("CONTAINS", "BASED_IN"))
     step = G.first_failing_step(g, ids(spark, "start", "Region-0"), [{"edge_label": "CONTAINS", "direction": "out"}, {"edge_label": "USES"}, {}])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import check_queries, graph_queries, report_queries, table_queries
+from . import check_queries, graph_queries, report_queries, table_queries, text_queries
 
-_PARTS = (graph_queries, table_queries, check_queries, report_queries)
+_PARTS = (graph_queries, table_queries, check_queries, report_queries, text_queries)
 
 
 def queries():

@@ -69,6 +69,17 @@ def write_graph(graph: PropertyGraph, path: str, style: str = "short") -> None:
     graph.elements().where(F.size("props") > 0).select(F.to_json(F.struct("id", "props")).alias("value")).write.mode("overwrite").text(f"{path}/{names[2]}")
 
 
+def write_graph_document(graph: PropertyGraph, path: str, style: str = "short") -> None:
+    """The graph as one JSON document that read_graph reads back. It is put together in one row, as it is read, so it must fit in a task."""
+    names = {"short": ("nodes", "edges", "allValues"), "long": ("nodes_data", "edges_data", "all_values_data")}[style]
+    part = lambda df, *c: df.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", F.to_json(F.struct(*c)).alias("j")))), lambda x: x["j"]), ","), F.lit("]")).alias("v"))
+    held = graph.elements().where(F.size("props") > 0).select(F.concat(F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2), F.lit(":"), F.to_json("props")).alias("j"))
+    values = held.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list("j")), ","), F.lit("}")).alias("v"))
+    n, e = part(graph.nodes, "id", "label").withColumnRenamed("v", "n"), part(graph.edges, "id", "label", "source", "target").withColumnRenamed("v", "e")
+    text = F.concat(F.lit(f'{{"{names[0]}":'), "n", F.lit(f',"{names[1]}":'), "e", F.lit(f',"{names[2]}":'), "v", F.lit("}"))
+    n.join(e).join(values).select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)  # joins of one row each
+
+
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank and malformed lines are skipped. Adds file and line_no, a line's place in its file."""
     from pyspark.sql.types import StructType
@@ -79,6 +90,42 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parsed.select(*[F.col("r")[n].alias(n) for n in names], "file", "line_no")
 
 
+def skip_first(rows: DataFrame, n: int, order: str = "line_no", defaults: dict | None = None) -> DataFrame:
+    """Rows behind the first n, and nulls replaced by defaults: the first n are found as a top n, so nothing is sorted as a whole."""
+    out = rows
+    if n:
+        last = rows.orderBy(order).limit(n).agg(F.max(order).alias("_last"))
+        out = rows.join(F.broadcast(last)).where(F.col("_last").isNull() | (F.col(order) > F.col("_last"))).drop("_last")
+    return out.fillna(defaults) if defaults else out
+
+
+FOUND = "instance_id string, found_files array<string>"
+
+
+def found_files(rows: DataFrame) -> DataFrame:
+    """instance, pos, item of located files (instance_id, found_files), README files left out."""
+    kept = F.filter(F.coalesce("found_files", F.array().cast("array<string>")), lambda p: ~T.is_readme(p))
+    return rows.select(F.col("instance_id").alias("instance"), F.posexplode(kept).alias("pos", "item"))
+
+
+def read_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """instance, path, contents of root/<instance>/documents.jsonl; an instance without a folder has no rows."""
+    if not path_exists(spark, root):
+        return spark.createDataFrame([], "instance string, path string, contents string")
+    rows = read_lines(spark, f"{root.rstrip('/')}/*/documents.jsonl", "id string, contents string")
+    return rows.select(F.element_at(F.split("file", "/"), -2).alias("instance"), F.col("id").alias("path"), F.coalesce("contents", F.lit("")).alias("contents"))
+
+
+def prompt_texts(spark: SparkSession, path: str) -> DataFrame:
+    """instance, text of a prompts table: JSON lines, or Parquet files of a dataset's splits; the last of several wins."""
+    if path.endswith((".jsonl", ".json")):
+        rows = read_lines(spark, path, "instance_id string, text string")
+    else:
+        rows = spark.read.option("recursiveFileLookup", "true").parquet(path).withColumn("line_no", F.monotonically_increasing_id())
+    last = rows.groupBy(F.col("instance_id").alias("instance")).agg(F.max_by(F.coalesce("text", F.lit("")), "line_no").alias("text"))
+    return last
+
+
 def finished(progress: DataFrame) -> DataFrame:
     """Ids of instances with non-empty text_inputs: what a resumed run skips."""
     return progress.where(F.coalesce("text_inputs", F.lit("")) != "").select("instance_id").distinct()
