@@ -164,5 +164,36 @@ FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_
 """
 
 
+def _op9_sql() -> str:
+    from .url_filter import DAMPING, MARGIN, RULES
+
+    rules = ", ".join(f"('{v}', '{h}', '{path}')" for v, h, path in RULES)
+    return rf"""
+WITH RECURSIVE rules(told, h, p) AS (VALUES {rules}),
+u AS (SELECT row_number() OVER () AS rid, page_id, html,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+fit AS (SELECT rid, h || p AS rule, told, row_number() OVER (PARTITION BY rid ORDER BY length(h || p) DESC, length(h) DESC, told DESC) AS k
+  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+t AS (SELECT u.rid, page_id, host, path, rule, told FROM u LEFT JOIN fit ON fit.rid = u.rid AND k = 1),
+found AS (SELECT DISTINCT rid, host AS src, translate(dst, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM (
+  SELECT rid, host, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]*)', 1)) AS dst FROM u)),
+links AS (SELECT src, dst, count(*) AS w FROM found WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+counts AS (SELECT host, count(*) FILTER (told = 'allow') AS a, count(*) FILTER (told = 'block') AS b, count(*) AS n FROM t WHERE host <> '' GROUP BY host),
+hosts AS (SELECT count(*) AS n FROM (SELECT host FROM counts UNION SELECT src FROM links UNION SELECT dst FROM links)),
+seed AS (SELECT kind, host, s / sum(s) OVER (PARTITION BY kind) AS s FROM (SELECT 'trust' AS kind, host, a AS s FROM counts WHERE 2 * a > n UNION ALL SELECT 'distrust', host, b FROM counts WHERE 2 * b > n)),
+e AS (SELECT kind, a, b, w / sum(w) OVER (PARTITION BY kind, a) AS share FROM (SELECT 'trust' AS kind, src AS a, dst AS b, w FROM links UNION ALL SELECT 'distrust', dst, src, w FROM links)),
+r AS (SELECT 0 AS step, kind, host, s AS rank FROM seed
+  UNION ALL SELECT step + 1, kind, host, sum(rank) FROM (
+    SELECT r.step, r.kind, e.b AS host, r.rank * e.share * {DAMPING} AS rank FROM r JOIN e ON e.kind = r.kind AND e.a = r.host
+    UNION ALL SELECT g.step, seed.kind, seed.host, seed.s * (1 - g.given) FROM seed JOIN (
+      SELECT r.step, r.kind, sum(coalesce(r.rank * o.out * {DAMPING}, 0)) AS given FROM r LEFT JOIN (SELECT kind, a, sum(share) AS out FROM e GROUP BY kind, a) o ON o.kind = r.kind AND o.a = r.host GROUP BY r.step, r.kind) g ON g.kind = seed.kind)
+  WHERE step < (SELECT CASE WHEN count(*) = 0 THEN 0 ELSE 200 END FROM e) GROUP BY step, kind, host),
+last AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN rank ELSE 0 END) AS trust, sum(CASE WHEN kind = 'distrust' THEN rank ELSE 0 END) AS distrust FROM r WHERE step = (SELECT max(step) FROM r) GROUP BY host)
+SELECT page_id, t.host, path, rule, coalesce(told, CASE WHEN distrust * n > trust * n + {MARGIN} THEN 'block' END, 'allow') AS verdict
+FROM t LEFT JOIN last ON last.host = t.host, hosts
+"""
+
+
 def oracle_sql():
-    return {"op2_warc": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op5_quality_rules": _op5_sql(), "op6_embedding_near_dedup": OP6_SQL}
+    return {"op2_warc": OP2_SQL, "op9_url_filters": _op9_sql(), "op3_minhash_near_dedup": OP3_SQL, "op5_quality_rules": _op5_sql(), "op6_embedding_near_dedup": OP6_SQL}
