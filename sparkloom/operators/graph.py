@@ -211,30 +211,32 @@ def find_connected(graph: PropertyGraph, starts: DataFrame, meta_type: str, edge
 
     The start itself counts at depth 0. ``direction`` "in" walks edges from target to source. Of
     equally near nodes, the one with the lexicographically least path of ids wins, which is what a
-    breadth-first walk over sorted neighbours meets first. All starts move together, level by level;
-    a start leaves once it has its answer, and a node is met by a start once.
+    breadth-first walk over sorted neighbours meets first. All starts move together, level by level; a
+    start leaves once it has its answer. A walk doesn't enter a node of its own path or, both ways, of
+    the last two levels; it may meet another node again later, which can't change the answer.
     """
-    nodes = graph.nodes.select(F.col("id").alias("at"), "meta_type")
+    there = graph.nodes.where(F.col("meta_type") == meta_type).select(F.col("id").alias("at"), F.lit(True).alias("hit"))
     edges = graph.edges if edge_label is None else graph.edges.where(F.col("label") == edge_label)
     ways = []
     if direction in ("in", "both"):
         ways.append(edges.select(F.col("target").alias("at"), F.col("source").alias("to")))
     if direction in ("out", "both"):
         ways.append(edges.select(F.col("source").alias("at"), F.col("target").alias("to")))
-    step = reduce(DataFrame.unionByName, ways).distinct()
+    step = cut(reduce(DataFrame.unionByName, ways).distinct())  # read at every level
     front = starts.select("start", F.col("start").alias("at"), F.array("start").alias("path")).distinct()
-    answers, seen = [], None
+    answers, before = [], []
     for depth in range(max_depth + 1):
-        level = cut(front.join(nodes, "at", "left"))
-        hits = level.where(F.col("meta_type") == meta_type)
-        best = hits.groupBy("start").agg(F.min(F.struct("path", "at")).alias("x")).select("start", F.col("x.at").alias("id"), F.lit(depth).alias("depth"), F.col("x.path").alias("path"))
+        level = cut(front.join(there, "at", "left"))
+        best = level.where("hit").groupBy("start").agg(F.min(F.struct("path", "at")).alias("x")).select("start", F.col("x.at").alias("id"), F.lit(depth).alias("depth"), F.col("x.path").alias("path"))
         answers.append(best)
         open_ = level.join(best.select("start"), "start", "left_anti").select("start", "at", "path")
         if depth == max_depth or open_.isEmpty():
             break
-        seen = level.select("start", "at") if seen is None else seen.unionByName(level.select("start", "at"))
-        front = open_.join(step, "at").select("start", F.col("to").alias("at"), F.array_append("path", F.col("to")).alias("path"))
-        front = front.groupBy("start", "at").agg(F.min("path").alias("path")).join(seen, ["start", "at"], "left_anti")
+        front = open_.join(step, "at").where(~F.array_contains("path", F.col("to"))).select("start", F.col("to").alias("at"), F.array_append("path", F.col("to")).alias("path"))
+        front = front.groupBy("start", "at").agg(F.min("path").alias("path"))
+        if direction == "both":  # an edge then joins nodes whose levels differ by one at most
+            before = [*before[-1:], level.select("start", "at")]
+            front = front.join(reduce(DataFrame.unionByName, before), ["start", "at"], "left_anti")
     return reduce(DataFrame.unionByName, answers)
 
 

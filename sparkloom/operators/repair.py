@@ -7,7 +7,9 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _BLOCK = re.compile(r"<<<<<<< SEARCH\n(.*?)\n?=======\n(.*?)\n?>>>>>>> REPLACE", re.S)
 _HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
@@ -173,11 +175,21 @@ def greedy_cover(covers: dict[str, set], costs: dict[str, float]) -> list[str]:
 def covers(rows: DataFrame) -> DataFrame:
     """instance, picked array<set_id> of rows (instance, set_id, element, cost); an instance's sets are one task's work, as each pick depends on the last."""
 
-    def run(key, pdf):
-        sets = {k: set(g.element) for k, g in pdf.groupby("set_id")}
-        return pd.DataFrame({"instance": [key[0]], "picked": [greedy_cover(sets, pdf.groupby("set_id").cost.first().to_dict())]})
+    own = rows.groupBy("instance").agg(F.collect_list(F.struct("set_id", "element", "cost")).alias("s"))
 
-    return rows.groupBy("instance").applyInPandas(run, "instance string, picked array<string>")
+    def run(batches):
+        for batch in batches:
+            picked = []
+            for entries in batch.column(1).to_pylist():
+                sets: dict[str, set] = {}
+                costs: dict[str, float] = {}
+                for x in entries:
+                    sets.setdefault(x["set_id"], set()).add(x["element"])
+                    costs[x["set_id"]] = min(x["cost"], costs.get(x["set_id"], x["cost"]))
+                picked.append(greedy_cover(sets, costs))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(picked, pa.list_(pa.string()))], names=["instance", "picked"])
+
+    return own.mapInArrow(run, "instance string, picked array<string>")
 
 
 STUB = "[content left out]"

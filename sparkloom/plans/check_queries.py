@@ -178,7 +178,12 @@ def build_phases(spark, d):
     return spark.createDataFrame([(graph.nodes.count(), graph.edges.count(), told.skipped_edges, ",".join(e.name for e in sorted(ran, key=lambda e: (e.phase, e.name != "python:sources"))), len(told.errors))], "nodes long, edges long, skipped int, ran string, errors int")
 
 
-@query("set_cover")
+@query("set_cover", """WITH RECURSIVE offers AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), need AS (SELECT DISTINCT l_orderkey AS instance, l_partkey AS p FROM lineitem),
+sets AS (SELECT instance, CAST(l_suppkey AS VARCHAR) AS id, any_value(s_acctbal) + 2000 AS cost, list(p) AS els FROM need JOIN offers ON l_partkey = p JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
+r AS (SELECT instance, list(DISTINCT p) AS rest, CAST([] AS VARCHAR[]) AS picked FROM (SELECT instance, unnest(els) AS p FROM sets) GROUP BY 1
+UNION ALL SELECT instance, list_filter(rest, lambda x: NOT list_contains(best.els, x)), list_append(picked, best.id) FROM (
+  SELECT r.instance, rest, picked, arg_min(struct_pack(id := id, els := els), struct_pack(a := -(len(list_intersect(els, rest)) / cost), b := cost, c := id)) AS best FROM r JOIN sets ON sets.instance = r.instance WHERE len(list_intersect(els, rest)) > 0 GROUP BY r.instance, rest, picked))
+SELECT CAST(instance AS VARCHAR) AS instance, picked FROM r WHERE len(rest) = 0""")
 def set_cover(spark, d):
     """For each order, suppliers picked greedily to cover its parts, cheapest by balance."""
     li, s = spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/supplier.parquet")
