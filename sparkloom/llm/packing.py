@@ -5,7 +5,10 @@ The plan is made from the histogram of piece lengths alone, which has at most ``
 pieces above ``small`` are sorted and cut into groups of equal cardinality, each rounded up to its
 largest length; configurations of the few sizes left are chosen one after another, each the fullest
 that holds the largest size still there, and used as often as the counts allow; then real lengths
-replace the rounded ones, and small pieces go, longest first, where they leave the least room.
+replace the rounded ones, and small pieces go, longest first, where they leave the least room. A plan
+takes a fraction of a second whatever the number of pieces, so one is made for each setting of
+GROUPS and SMALL, from coarse to exact lengths, and the one with the fewest sequences is taken;
+``Plan.bound`` is what no packing can go below.
 Pieces get their places by rank among those of their length, so that no group is gathered anywhere.
 """
 
@@ -26,17 +29,21 @@ from .common import Stored
 from .textkernel import released
 from .tokens import Encoder
 
-CAPACITY, GROUPS = 1024, 128
+CAPACITY = 1024
+#: Numbers of groups, and shares of a sequence up to which a piece is small, that plans are made for.
+GROUPS, SMALL = (128, 512, 4096), (8, 16, 32)
 
 
 class Plan:
     """Places for the pieces of each length, by rank: runs of (length, first rank, first sequence, offset, pieces a sequence)."""
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int | None = None):
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS[0], small: int | None = None):
         self.capacity, self.small = capacity, capacity // 8 if small is None else small
         self.runs: list[tuple[int, int, int, int, int]] = []
         self.taken: dict[int, int] = defaultdict(int)
         self.sequences = 0
+        #: The least number of sequences: by tokens, or by pieces that no other such piece fits beside.
+        self.bound = max(-(-sum(n * c for n, c in counts.items()) // capacity), sum(c for n, c in counts.items() if 2 * n > capacity))
         self.rooms: dict[int, list[tuple[int, int]]] = defaultdict(list)  # free tokens: runs of (first sequence, number)
         self.frees: list[int] = []
         self._large({n: c for n, c in counts.items() if n > self.small and c}, groups)
@@ -156,6 +163,19 @@ class Plan:
         return tuple(runs.T)
 
 
+def best_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple = GROUPS, small: tuple = SMALL) -> Plan:
+    """The plan of fewest sequences of all settings; the first of equals, and the first that reaches the bound."""
+    best = None
+    for g in groups:
+        for share in small:
+            plan = Plan(counts, capacity, g, capacity // share)
+            if best is None or plan.sequences < best.sequences:
+                best = plan
+            if best.sequences == best.bound:
+                return best
+    return best
+
+
 def place(table: tuple[np.ndarray, ...], length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sequences and offsets of pieces, given their lengths and ranks among the pieces of that length."""
     n, first, sequence, offset, each = table
@@ -190,7 +210,7 @@ def _pieces(capacity: int, end_id: int, encoder: tuple):
     return run
 
 
-def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, end_id: int = 2, groups: int = GROUPS, encoder: tuple = ()) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, end_id: int = 2, groups: tuple = GROUPS, encoder: tuple = ()) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     docs: doc_id, text; other columns are ignored. Each row is a document of its own, repeated or
@@ -203,7 +223,7 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, end_id:
     pieces = kept.put("pk_piece", docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(_pieces(capacity, end_id, encoder), Encoder.forget), schema))
     counts = kept.put("pk_count", pieces.groupBy("pid", "length").agg(F.count("*").alias("n")))
     # A histogram: one row for each length up to the capacity.
-    plan = Plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity, groups)
+    plan = best_plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity, groups)
     table = spark.sparkContext.broadcast(plan.table())
     earlier = F.sum("n").over(W.partitionBy("length").orderBy("pid").rowsBetween(W.unboundedPreceding, -1))
     base = counts.select("pid", "length", F.coalesce(earlier, F.lit(0)).alias("base"))

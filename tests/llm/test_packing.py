@@ -1,13 +1,13 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sparkloom.llm.packing import Plan, pack, place
+from sparkloom.llm.packing import Plan, best_plan, pack, place
 
 
 def check_plan(counts, capacity, **kw):
@@ -95,3 +95,16 @@ def test_pack_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
     rows = pack(spark, df).collect()
     assert len(rows) == 3 and len({(x.sequence_id, x.offset) for x in rows}) == 3
+
+
+def test_best_plan_is_near_the_bound():
+    r = random.Random(6)
+    for lo, hi, slack in ((1, 1024, 1.02), (1, 300, 1.001), (600, 1024, 1.0), (300, 700, 1.02)):
+        counts = Counter(r.randint(lo, hi) for _ in range(20000))
+        plan = best_plan(counts)
+        assert plan.bound <= plan.sequences <= plan.bound * slack
+        assert plan.sequences <= min(Plan(counts, groups=g, small=128).sequences for g in (32, 128))
+        for n, _, _, offset, each in plan.runs:
+            assert offset + n * each <= 1024
+        for n in counts:
+            assert plan.taken[n] == counts[n]
