@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +30,30 @@ def tokens_quarter(text: Column) -> Column:
     return F.floor(F.length(text) / 4).cast("long")
 
 
+def token_counter(path: str) -> Callable[[Column], Column]:
+    """Counts a text's tokens by a tokenizer's file: a counter for reports where an estimate isn't enough. A null has none."""
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        encode = _tokenizer(path).encode
+        return texts.map(lambda t: len(encode(t, add_special_tokens=False).ids) if t else 0)
+
+    return count
+
+
+@lru_cache(4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def shown(value: Column, kind: str = "int") -> Column:
+    """A number for a report: int with thousands apart, float with one place, pct of 1 with one place; a dash for null."""
+    text = {"int": F.format_number(F.bround(value, 0), 0), "float": F.format_string("%.1f", value.cast("double")), "pct": F.format_string("%.1f%%", value * 100)}[kind]
+    return F.when(value.isNull(), "—").otherwise(text)
+
+
 def truncate(text: Column, n: int) -> Column:
     """The first n characters; 0 means all."""
     return text if not n else F.left(text, F.lit(n))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from . import rank as R
 from . import spans as S
 from .evaluate import keep_last
+from .lineage import cut
 
 CODE_TYPES = ("Function", "Method", "Class")
 #: (temperature, thinking) of the attempts at one answer, in order (fixed values).
@@ -232,12 +233,10 @@ def rank_run(spark: SparkSession, blocks: DataFrame, issues: DataFrame, path: st
     if limit:
         todo = todo.orderBy("instance").limit(limit)
     ranked = rank_listwise(blocks.join(todo, "instance", "left_semi"), issues, ask, **options)
-    rows = ranked.select(F.col("instance").alias("instance_id"), F.lit(model).alias("model"), F.col("ranked").alias("ranked_files"), "failed", "n_files", "n_comparisons", *[F.lit(v).alias(c) for c, v in (spec or {}).items()]).cache()
-    try:
-        rows.write.mode("append").json(path)
-        sums = rows.agg(F.count("*").alias("processed"), F.count_if("failed").alias("failed"), F.coalesce(F.sum("n_comparisons"), F.lit(0)).alias("comparisons")).first()
-    finally:
-        rows.unpersist()
+    rows = ranked.select(F.col("instance").alias("instance_id"), F.lit(model).alias("model"), F.col("ranked").alias("ranked_files"), "failed", "n_files", "n_comparisons", *[F.lit(v).alias(c) for c, v in (spec or {}).items()])
+    rows = cut(rows)  # asked once, and apart from the table that it is appended to
+    rows.write.mode("append").json(path)
+    sums = rows.agg(F.count("*").alias("processed"), F.count_if("failed").alias("failed"), F.coalesce(F.sum("n_comparisons"), F.lit(0)).alias("comparisons")).first()
     return stats | sums.asDict()
 
 
@@ -283,10 +282,7 @@ def repair_run(spark: SparkSession, prompts: DataFrame, path: str, ask: Callable
             yield pd.DataFrame(out, columns=["instance_id", "model_name_or_path", "text", "full_output", "thinking_retry"])
 
     schema = "instance_id string, model_name_or_path string, text string, full_output string, thinking_retry boolean"
-    rows = todo.select("instance", "prompt").mapInPandas(run, schema).cache()
-    try:
-        rows.write.mode("append").json(path)
-        sums = rows.agg(F.count("*").alias("processed"), F.count_if("thinking_retry").alias("retried")).first().asDict()
-    finally:
-        rows.unpersist()
+    rows = cut(todo.select("instance", "prompt").mapInPandas(run, schema))
+    rows.write.mode("append").json(path)
+    sums = rows.agg(F.count("*").alias("processed"), F.count_if("thinking_retry").alias("retried")).first().asDict()
     return sums | {"skipped": prompts.count() - sums["processed"]}

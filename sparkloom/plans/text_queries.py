@@ -127,6 +127,12 @@ def comparison_counts(spark, d):
     return read(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("c")).select("k", T.comparisons(F.col("c")).alias("n"))
 
 
+@query("numbers_shown", "SELECT o_orderkey, format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)) AS whole, CASE WHEN o_orderkey % 7 = 0 THEN '—' ELSE format('{:.1f}%', o_orderkey % 7 / 8 * 100) END AS share FROM orders")
+def numbers_shown(spark, d):
+    k = F.col("o_orderkey")
+    return read(spark, d, "orders").select("o_orderkey", T.shown(F.col("o_totalprice")).alias("whole"), T.shown(F.when(k % 7 != 0, k % 7 / 8), "pct").alias("share"))
+
+
 # Loaders
 
 
@@ -235,6 +241,30 @@ def edge_ids(spark, d):
     return rows.select("id", VA.id_signature(F.col("id")).alias("s")).select("id", "s.source", "s.relation", "s.target")
 
 
+@query("property_warnings", """WITH e AS (SELECT 'Customer' || c_custkey || '-HAS_PROPERTY-' || c_mktsegment AS id, 'Customer' || c_custkey AS n, c_mktsegment AS p, c_custkey AS k FROM customer WHERE c_custkey % 4 <> 0)
+SELECT 'meta' AS level, 'UNKNOWN_REFERENCE' AS error_type, id AS element_id, 'node ' || n AS detail FROM e WHERE k % 3 = 0 UNION ALL SELECT 'meta', 'UNKNOWN_REFERENCE', id, 'property ' || p FROM e WHERE p = 'BUILDING'""")
+def property_warnings(spark, d):
+    c = read(spark, d, "customer")
+    own = F.concat(F.lit("Customer"), F.col("c_custkey").cast("string"))
+    props = F.when(F.col("c_custkey") % 4 != 0, F.create_map(F.lit("isMandatory"), F.lit("true"))).otherwise(F.create_map().cast("map<string,string>"))
+    edges = c.select(F.concat(own, F.lit("-HAS_PROPERTY-"), "c_mktsegment").alias("id"), F.lit("HAS_PROPERTY").alias("label"), own.alias("source"), F.col("c_mktsegment").alias("target"), props.alias("props"), F.col("c_custkey").alias("ord"))
+    ids = c.where("c_custkey % 3 <> 0").select(own.alias("id")).unionByName(c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_mktsegment").alias("id")).distinct())
+    nodes = ids.select("id", F.col("id").alias("label"), F.lit("NodeType").alias("meta_type"), F.create_map().cast("map<string,string>").alias("props"), F.lit(0).cast("long").alias("ord"))
+    return VA.property_warnings(G.PropertyGraph(nodes, edges))
+
+
+@query("schema_text", "SELECT 'node type ' || n_name || ': ' || r_name || ', name' AS line FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'edge type IN_' || r_name FROM region")
+def schema_text(spark, d):
+    """Nations as node types with two properties each, regions as edge types."""
+    n, r = read(spark, d, "nation"), read(spark, d, "region")
+    empty = F.create_map().cast("map<string,string>").alias("props")
+    node = lambda df, ident, kind, key: df.select(ident.alias("id"), ident.alias("label"), F.lit(kind).alias("meta_type"), empty, F.col(key).cast("long").alias("ord"))
+    nodes = node(n, F.col("n_name"), "NodeType", "n_nationkey").unionByName(node(r, F.concat(F.lit("IN_"), "r_name"), "EdgeType", "r_regionkey")).unionByName(node(r, F.col("r_name"), "PropertyType", "r_regionkey"))
+    both = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.explode(F.array("r_name", F.lit("name"))).alias("target"))
+    edges = both.select(F.concat_ws("-", "n_name", F.lit("HAS_PROPERTY"), "target").alias("id"), F.lit("HAS_PROPERTY").alias("label"), F.col("n_name").alias("source"), "target", empty, F.lit(0).cast("long").alias("ord"))
+    return VA.schema_text(G.PropertyGraph(nodes, edges))
+
+
 def _as_files(spark, d):
     """Nations as files; every second one has no path of its own."""
     g = tpch_graph(spark, d, ("Region", "Nation", "Customer", "Order"), ("CONTAINS",))
