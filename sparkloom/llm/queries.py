@@ -177,7 +177,7 @@ fit AS (SELECT rid, h || p AS rule, told, row_number() OVER (PARTITION BY rid OR
   FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
 t AS (SELECT u.rid, page_id, host, path, rule, told FROM u LEFT JOIN fit ON fit.rid = u.rid AND k = 1),
 found AS (SELECT DISTINCT rid, host AS src, translate(dst, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM (
-  SELECT rid, host, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]*)', 1)) AS dst FROM u)),
+  SELECT rid, host, unnest(regexp_extract_all(html, '(?i)<a(?:rea)?\s[^>]*?href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]*)', 1)) AS dst FROM u)),
 links AS (SELECT src, dst, count(*) AS w FROM found WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
 counts AS (SELECT host, count(*) FILTER (told = 'allow') AS a, count(*) FILTER (told = 'block') AS b, count(*) AS n FROM t WHERE host <> '' GROUP BY host),
 hosts AS (SELECT count(*) AS n FROM (SELECT host FROM counts UNION SELECT src FROM links UNION SELECT dst FROM links)),

@@ -52,8 +52,12 @@ def matched(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """src, dst, weight: a page's links to other hosts, with or without a scheme before ``//``, counted once a page and host."""
-    found = F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]*)"""), 1)
+    """src, dst, weight: a page's links to other hosts, with or without a scheme before ``//``, counted once a page and host.
+
+    Links are the href values of <a> and <area> tags, quoted or bare, up to the tag's first ``>``;
+    <link> and <base> tags and scripts lead no reader on and don't count.
+    """
+    found = F.regexp_extract_all("html", F.lit(r"""(?i)<a(?:rea)?\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]*)"""), 1)
     hosts = F.array_distinct(F.transform(found, lambda h: F.translate(h, _UPPER, _LOWER)))
     links = pages.select(host_of(F.col("url")).alias("src"), F.explode(hosts).alias("dst"))
     return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))

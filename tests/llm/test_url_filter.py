@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -88,3 +89,37 @@ def test_links_without_a_scheme(spark):
     pages = [(1, "http://x.test/", '<a href="//bad.org/">'), (2, "http://bad.org/es/", None)]
     got = {x.page_id: x.verdict for x in uf.judge_urls(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {1: "block", 2: "block"}
+
+
+def test_a_hub_of_many_links(spark):
+    """A host that a third of all edges touch, in both directions, against dense power iteration."""
+    r = random.Random(12)
+    n = 600
+    links = {("h0", f"h{k}"): 1.0 for k in range(1, 300)} | {(f"h{k}", "h0"): 2.0 for k in range(200, 500)}
+    while len(links) < 1500:
+        a, b = r.randrange(n), r.randrange(n)
+        if a != b:
+            links[f"h{a}", f"h{b}"] = float(r.choice([1, 3]))
+    seeds = [(f"h{k}", float(k % 5 == 0), float(k % 7 == 0)) for k in range(n)]
+    rows = [(a, b, w) for (a, b), w in links.items()]
+    got = {x.host: (x.trust, x.distrust) for x in uf.propagate(Stored(spark), spark.createDataFrame(rows, "src string, dst string, weight double"), spark.createDataFrame(seeds, "host string, trusted double, blocked double")).collect()}
+    for which, side in enumerate(("trusted", "blocked")):
+        m = np.zeros((n, n))
+        for a, b, w in rows:
+            i, j = int(a[1:]), int(b[1:])
+            m[(j, i) if side == "trusted" else (i, j)] += w
+        total = m.sum(axis=0)
+        m = np.divide(m, total, out=np.zeros_like(m), where=total > 0)
+        s = np.array([x[1 + which] for x in seeds])
+        s /= s.sum()
+        v = s
+        for _ in range(400):
+            moved = uf.DAMPING * m @ v
+            v = moved + s * (1 - moved.sum())
+        assert max(abs(got.get(f"h{k}", (0, 0))[which] - v[k]) for k in range(n)) * n < uf.TOLERANCE
+
+
+def test_area_links_count_and_link_tags_do_not(spark):
+    html = '<area shape="x" href="http://B.org/x"><link href="http://c.org/"><a\nhref=//d.org>x</a>'
+    pages = spark.createDataFrame([(1, "http://a.org/", html)], "page_id long, url string, html string")
+    assert sorted(x.dst for x in uf.host_links(pages).collect()) == ["b.org", "d.org"]
