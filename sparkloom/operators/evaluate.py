@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .lineage import numbered
 
 KS = (1, 3, 5)
@@ -116,6 +117,31 @@ def leaks(added: DataFrame, texts: DataFrame, line_bytes: int = LINE_BYTES) -> D
     return added.distinct().join(counts, "line").select("instance", "line", "n_texts")
 
 
+def leak_audit(predictions: DataFrame, patches: DataFrame, corpus: DataFrame, least: int = 8) -> DataFrame:
+    """instance, matched, leaked (arrays of lines, sorted), patch_missing, corpus_missing: gold lines that a prompt shows, and those of them that no file of its corpus holds.
+
+    predictions: instance, text; patches: instance, patch; corpus: instance, contents, a row a file. Lines
+    are a patch's added ones, stripped, of ``least`` characters or more. Without a patch (or with an empty
+    one) nothing is matched, without a corpus nothing counts as leaked, and both are told.
+    """
+    rows = predictions.join(patches.select("instance", F.nullif("patch", F.lit("")).alias("patch")), "instance", "left").select("instance", "text", "patch")
+    held = corpus.select("instance").distinct().withColumn("there", F.lit(True))
+    lines = rows.where("patch is not null").select("instance", "text", F.explode(T.added_lines(F.col("patch"), least)).alias("line"))
+    matched = lines.where(F.contains("text", "line")).select("instance", "line")
+    known = matched.join(corpus.select("instance", "contents"), "instance").where(F.contains("contents", "line")).select("instance", "line").distinct().withColumn("known", F.lit(True))
+    told = matched.join(known, ["instance", "line"], "left").groupBy("instance").agg(F.array_sort(F.collect_list("line")).alias("matched"), F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.col("line")))).alias("fresh"))
+    none = F.array().cast("array<string>")
+    out = rows.select("instance", F.col("patch").isNull().alias("patch_missing")).join(held, "instance", "left").join(told, "instance", "left")
+    lost = ~F.col("patch_missing") & F.col("there").isNull()
+    return out.select("instance", F.coalesce("matched", none).alias("matched"), F.when(F.col("there"), F.coalesce("fresh", none)).otherwise(none).alias("leaked"), "patch_missing", lost.alias("corpus_missing"))
+
+
+def leak_totals(audit: DataFrame) -> DataFrame:
+    """instances, matched_lines, leaked_lines, patch_missing, corpus_missing of leak_audit's rows."""
+    lines = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("long")
+    return audit.agg(F.count("*").alias("instances"), lines("matched").alias("matched_lines"), lines("leaked").alias("leaked_lines"), F.count_if("patch_missing").alias("patch_missing"), F.count_if("corpus_missing").alias("corpus_missing"))
+
+
 def _occurrences(texts: DataFrame, lines: list[str]) -> DataFrame:
     """line, n_texts: how many texts hold each line, where any does."""
     known = texts.sparkSession.sparkContext.broadcast(lines)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import context as C
+from ..operators import evaluate as E
 from ..operators import graph as G
 from ..operators import localise as L
 from ..operators import rank as R
@@ -133,6 +134,30 @@ def numbers_shown(spark, d):
     return read(spark, d, "orders").select("o_orderkey", T.shown(F.col("o_totalprice")).alias("whole"), T.shown(F.when(k % 7 != 0, k % 7 / 8), "pct").alias("share"))
 
 
+_AUDIT = r"""l AS (SELECT doc_id, text, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 20)) AS ls FROM documents),
+m AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN [] ELSE list_filter(ls, lambda x: contains(left(text, 900), x)) END AS matched FROM l),
+a AS (SELECT doc_id AS instance, matched, CASE WHEN doc_id % 3 = 0 THEN [] ELSE list_filter(matched, lambda x: NOT contains(left(text, 400), x)) END AS leaked, doc_id % 5 = 0 AS patch_missing, doc_id % 3 = 0 AND doc_id % 5 <> 0 AS corpus_missing FROM m)"""
+
+
+def _audit(spark, d):
+    """Prompts show the first 900 characters of a document whose lines a patch adds; its corpus has the first 400."""
+    docs = read(spark, d, "documents").where("text is not null").withColumnRenamed("doc_id", "instance")
+    body = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("+"), x)), "\n")
+    patches = docs.select("instance", F.when(F.col("instance") % 5 != 0, F.concat(F.lit("--- a/x\n+++ b/x\n"), body)).otherwise("").alias("patch"))
+    files = docs.where("instance % 3 <> 0").select("instance", F.explode(F.array(F.left("text", F.lit(400)), F.lit("other"))).alias("contents"))
+    return E.leak_audit(docs.select("instance", F.left("text", F.lit(900)).alias("text")), patches, files, 20)
+
+
+@query("leak_audit", f"WITH {_AUDIT} SELECT instance, len(matched) AS matched, len(leaked) AS leaked, patch_missing, corpus_missing FROM a")
+def leak_audit(spark, d):
+    return _audit(spark, d).select("instance", F.size("matched").cast("long").alias("matched"), F.size("leaked").cast("long").alias("leaked"), "patch_missing", "corpus_missing")
+
+
+@query("leak_totals", f"WITH {_AUDIT} SELECT count(*) AS instances, CAST(sum(len(matched)) AS BIGINT) AS matched_lines, CAST(sum(len(leaked)) AS BIGINT) AS leaked_lines, count(*) FILTER (patch_missing) AS patch_missing, count(*) FILTER (corpus_missing) AS corpus_missing FROM a")
+def leak_totals(spark, d):
+    return E.leak_totals(_audit(spark, d))
+
+
 # Loaders
 
 
