@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from sparkloom.llm import domain_score as ds
 from sparkloom.llm.tokens import Encoder
 
@@ -39,7 +41,7 @@ def brute(rows, targets):
     return sorted(out, key=str)
 
 
-def test_same_as_brute_force(spark, monkeypatch):
+def test_same_as_brute_force(spark):
     r = random.Random(0)
     rows = []
     for i in range(80):
@@ -47,7 +49,12 @@ def test_same_as_brute_force(spark, monkeypatch):
         rows.append((i, " ".join(r.choice(words) for _ in range(r.choice([1, 30, 300]))), "x", 1))
     rows += [(80, None, "", 0), (81, "", "", 0), (None, "law court", "", 0), (3, rows[3][1], "", 0)]
     targets = spark.createDataFrame([(i,) for i in range(0, 40, 4)] + [(0,), (None,), (999,)], "doc_id long")
-    out = ds.score(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), targets).collect()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+    out = ds.score(spark, df, targets).collect()
+    key = lambda x: str((x.doc_id, x.n_tokens, x.score))
+    for chunk, frequent in ((100, 0), (100, 7), (400, 10**6)):  # many chunks; no, some and all shared bigrams broadcast
+        again = ds.score(spark, df, targets, chunk=chunk, frequent=frequent).collect()
+        assert [tuple(x) for x in sorted(again, key=key)] == [tuple(x) for x in sorted(out, key=key)]
     got = sorted(((x.doc_id, x.n_tokens, x.target, x.loss_target, x.loss_background) for x in out), key=str)
     want = brute(rows, set(range(0, 40, 4)))
     assert [x[:3] for x in got] == [x[:3] for x in want]
@@ -61,3 +68,9 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert ds.score(spark, spark.createDataFrame([], SCHEMA), none).count() == 0
     assert ds.score(spark, spark.createDataFrame([(1, "a b", "", 1)], SCHEMA), none).first().target is False
+
+
+def test_frequent_bigrams_are_bounded(spark):
+    sums = spark.createDataFrame([(k, n) for k, n in enumerate([1] * 50 + [2] * 20 + [9] * 5 + [100] * 3)], "code long, n long")
+    for most, want in ((0, 0), (2, 0), (3, 3), (7, 3), (8, 8), (27, 8), (28, 28), (1000, 28)):
+        assert sums.where(F.col("n") >= ds.frequent_from(sums, most)).count() == want

@@ -1,6 +1,8 @@
 import random
 
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sparkloom.llm.hyperminhash import near_duplicates
@@ -8,6 +10,9 @@ from sparkloom.llm.packing import pack
 from sparkloom.llm.quality_rules import judged
 from sparkloom.llm.toxicity import classify
 
+from .test_hyperminhash import brute
+from .test_quality_rules import counts
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -58,6 +63,28 @@ def test_each_stage_does_what_its_operator_says(spark, sf_dir, tmp_path):
         docs = out
 
 
+def test_stages_equal_brute_force(spark, sf_dir, tmp_path):
+    """Quality, near-duplicates and packing against plain Python, each on what the stage before has kept."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{k}")
+        out = spark.read.parquet(f"{tmp_path}/{k}")
+        before = {x.doc_id for x in docs.collect()}
+        after = {x.doc_id for x in out.collect()}
+        if k == 1:  # no threshold has a bad document to catch that the base rule leaves
+            assert after == {i for i in before if not counts(texts[i])[-1]}
+        elif k == 2:
+            assert after == {i for i, _, _, kept in brute([(i, texts[i]) for i in sorted(before)], 5) if kept}
+        elif k == 3:
+            encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
+            sizes = {i: len(encode(texts[i], add_special_tokens=False).ids) + 1 for i in before}
+            rows = out.collect()
+            assert {i: sum(x.length for x in rows if x.doc_id == i) for i in before} == sizes
+            assert len({x.sequence_id for x in rows}) <= 1.02 * -(-sum(sizes.values()) // 1024) + 1
+        docs = out
+
+
 def test_planted_cases(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     ids = {x.doc_id for x in rows}
