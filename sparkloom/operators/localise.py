@@ -200,6 +200,25 @@ def rank_listwise(blocks: DataFrame, issues: DataFrame, ask: Callable, k: int =
     return n.join(ranked, "instance").join(told, "instance", "left").select("instance", "ranked", F.coalesce("failed", F.lit(False)).alias("failed"), "n_files", F.coalesce("n_comparisons", F.lit(0).cast("long")).alias("n_comparisons"))
 
 
+def rank_pairwise(candidates: DataFrame, judge: Callable[[str, str, str], str | None]) -> DataFrame:
+    """instance, ranked, failed, n_files, n_comparisons: each instance's items (instance, issue, items array<string>) sorted by a judge of pairs.
+
+    judge(issue, a, b) names "a" or "b"; if it ever names neither, the given order stays. An instance's
+    comparisons depend on each other, so they are one worker's.
+    """
+    kind = candidates.schema["instance"].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for instance, issue, items in zip(pdf.instance, pdf.issue, pdf["items"]):
+                ranked, calls, failed = R.comparator_sort(list(items), lambda a, b: judge(issue, a, b))  # noqa: B023
+                out.append((instance, ranked, failed, len(items), calls))
+            yield pd.DataFrame(out, columns=["instance", "ranked", "failed", "n_files", "n_comparisons"])
+
+    return candidates.select("instance", "issue", "items").mapInPandas(run, f"instance {kind}, ranked array<string>, failed boolean, n_files long, n_comparisons long")
+
+
 def rankable(progress: DataFrame, split: DataFrame, gold: DataFrame, only: str | None = None) -> DataFrame:
     """The last finished row of each instance that is in the split and has gold files, and is ``only`` if given.
 

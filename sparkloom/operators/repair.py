@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BLOCK = re.compile(r"<<<<<<< SEARCH\n(.*?)\n?=======\n(.*?)\n?>>>>>>> REPLACE", re.S)
@@ -196,19 +196,36 @@ STUB = "[content left out]"
 
 
 def truncate_sections(parts: list[tuple[str, str]], max_files: int, max_chars: int, total_chars: int) -> list[tuple[str, str]]:
-    """(path, text) sections under limits: too long ones keep head and tail halves around a note, and no more than what is left of the total.
+    """(path, text) sections under limits: too long ones keep halves of what they may have around a note of what is left out.
 
-    Where little more than the stub would fit, the stub stands alone; sections beyond max_files go.
+    Once little more than the stub could stand, the stub alone does and costs nothing; notes cost nothing
+    either. Sections beyond max_files go.
     """
-    out, left = [], total_chars
+    out, used = [], 0
     for path, text in parts[:max_files]:
-        allowed = min(max_chars, left)
-        if len(text) > allowed:
-            if allowed <= len(STUB) + 64:
-                text = STUB
-            else:
-                half = (allowed - len(STUB) - 2) // 2
-                text = text[:half] + "\n" + STUB + "\n" + text[-half:]
+        room = min(max_chars, total_chars - used)
+        if room <= len(STUB) + 64:
+            out.append((path, STUB))
+            continue
+        used += min(len(text), room)
+        if len(text) > room:
+            half = room // 2
+            text = f"{text[:half]}\n[{len(text) - room} characters left out]\n{text[len(text) - half :]}"
         out.append((path, text))
-        left = max(0, left - len(text))
     return out
+
+
+def truncated(sections: Column, max_files: int, max_chars: int, total_chars: int) -> Column:
+    """truncate_sections over an ordered array<struct<path, text>>."""
+    n = lambda x: F.length(x["text"])
+    room = lambda used: F.least(F.lit(max_chars), F.lit(total_chars) - used)
+
+    def step(acc: Column, x: Column) -> Column:
+        may = room(acc["used"])
+        stub, half = may <= len(STUB) + 64, F.floor(may / 2).cast("int")
+        note = F.concat(F.left(x["text"], half), F.lit("\n["), (n(x) - may).cast("string"), F.lit(" characters left out]\n"), F.right(x["text"], half))
+        text = F.when(stub, STUB).when(n(x) > may, note).otherwise(x["text"])
+        return F.struct((acc["used"] + F.when(stub, 0).otherwise(F.least(n(x), may))).alias("used"), F.array_append(acc["out"], F.struct(x["path"].alias("path"), text.alias("text"))).alias("out"))
+
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<path:string,text:string>>").alias("out"))
+    return F.aggregate(F.slice(sections, 1, max_files), start, step, lambda acc: acc["out"])

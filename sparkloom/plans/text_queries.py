@@ -10,6 +10,7 @@ from ..operators import evaluate as E
 from ..operators import graph as G
 from ..operators import localise as L
 from ..operators import rank as R
+from ..operators import repair as RP
 from ..operators import validate as VA
 from ..operators.caches import fingerprint, page
 from ..sources import files as FS
@@ -211,6 +212,29 @@ def index_page(spark, d):
 # Prompts and contexts
 
 
+_STUB = len(RP.STUB) + 64
+
+
+@query("truncated_sections", f"""WITH RECURSIVE s AS (SELECT source, doc_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+f AS (SELECT source, doc_id, text, r, CAST(0 AS BIGINT) AS used FROM s WHERE r = 1 UNION ALL SELECT s.source, s.doc_id, s.text, s.r, used + CASE WHEN least(900, 6000 - used) <= {_STUB} THEN 0 ELSE least(length(f.text), least(900, 6000 - used)) END FROM f JOIN s ON s.source = f.source AND s.r = f.r + 1 WHERE s.r <= 12),
+m AS (SELECT *, CAST(least(900, 6000 - used) AS BIGINT) AS may FROM f)
+SELECT source, doc_id, md5(CASE WHEN may <= {_STUB} THEN '{RP.STUB}' WHEN length(text) > may THEN left(text, may // 2) || chr(10) || '[' || (length(text) - may) || ' characters left out]' || chr(10) || right(text, may // 2) ELSE text END) AS text FROM m""")
+def truncated_sections(spark, d):
+    rows = read(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))).alias("s"))
+    parts = F.transform("s", lambda x: F.struct(x["doc_id"].cast("string").alias("path"), x["text"].alias("text")))
+    out = rows.select("source", F.explode(RP.truncated(parts, 12, 900, 6000)).alias("x"))
+    return out.select("source", F.col("x.path").cast("long").alias("doc_id"), F.md5("x.text").alias("text"))
+
+
+@query("rank_pairwise", "SELECT c_nationkey AS instance, CASE WHEN any_value(n_name) LIKE '%A' THEN string_agg(c_name, ',' ORDER BY c_custkey) ELSE string_agg(c_name, ',' ORDER BY c_name DESC) END AS ranked, any_value(n_name) LIKE '%A' AND count(*) > 1 AS failed, count(*) AS n_files FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+def rank_pairwise(spark, d):
+    """Customers of a nation by a judge who prefers later names, and who fails on some nations."""
+    c = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]).alias("items"))
+    rows = c.join(read(spark, d, "nation"), "n_nationkey").select(F.col("n_nationkey").alias("instance"), F.col("n_name").alias("issue"), "items")
+    out = L.rank_pairwise(rows, lambda issue, a, b: None if issue.endswith("A") else "a" if a > b else "b")
+    return out.select("instance", F.array_join("ranked", ",").alias("ranked"), "failed", "n_files")
+
+
 @query("rebuilt_contexts", f"""WITH {_LI}, p AS (SELECT DISTINCT l_orderkey AS instance, l_partkey AS p FROM li), r AS (SELECT instance, list('b' || p ORDER BY CASE WHEN instance % 4 = 0 THEN p ELSE -p END) AS b FROM p GROUP BY 1)
 SELECT instance, 'H' || array_to_string(b, '|') || 'F' AS context, CASE WHEN instance % 4 = 0 THEN '' ELSE 'q' END AS missing, instance % 4 <> 0 AS rerank_used FROM r""")
 def rebuilt_contexts(spark, d):

@@ -61,6 +61,34 @@ def read_graph(spark: SparkSession, path: str) -> PropertyGraph:
     return PropertyGraph(n, e)
 
 
+_LOADED: dict[tuple, PropertyGraph] = {}
+
+
+def load_graph(spark: SparkSession, name: str, base: str = ".") -> PropertyGraph:
+    """The graph base/<name>.json, else base/graph_store/<name>.json, cached until clear_graphs.
+
+    Refusals: GRAPH_FILE_NOT_FOUND, INVALID_JSON, and READ_ERROR for whatever else keeps it from being read.
+    """
+    at = next((p for p in (f"{base}/{name}.json", f"{base}/graph_store/{name}.json") if path_exists(spark, p)), None)
+    if at is None:
+        raise GraphError("GRAPH_FILE_NOT_FOUND", name)
+    key = (spark.sparkContext.applicationId, at)
+    if key not in _LOADED:
+        try:
+            _LOADED[key] = read_graph(spark, at).cache()
+        except GraphError:
+            raise
+        except Exception as e:
+            raise GraphError("READ_ERROR", at) from e
+    return _LOADED[key]
+
+
+def clear_graphs(name: str | None = None) -> None:
+    """Forgets one loaded graph, or all."""
+    for key in [k for k in _LOADED if name is None or k[1].endswith(f"/{name}.json")]:
+        _LOADED.pop(key).unpersist()
+
+
 def write_graph(graph: PropertyGraph, path: str, style: str = "short") -> None:
     """The graph as JSON lines of elements in three folders, named in either spelling; each element is a row."""
     names = {"short": ("nodes", "edges", "allValues"), "long": ("nodes_data", "edges_data", "all_values_data")}[style]

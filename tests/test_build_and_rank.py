@@ -205,3 +205,23 @@ def test_hints(spark):
     assert hint({"edge_label": "R", "direction": "in"}) == [(1, True, "step 1 asks for R going in, it only goes out", "R", "out")]
     two = hint("R", "S")
     assert [x[1] for x in two] == [False, False] and two[0][2] == "each step is met at its hop, but not one after another" and two[1][3:] == ("S", "in")
+
+
+def test_loaded_graphs_are_kept_until_cleared(spark, tmp_path):
+    (tmp_path / "graph_store").mkdir()
+    (tmp_path / "graph_store" / "data.json").write_text('{"nodes": [{"id": "a"}], "edges": [], "allValues": {}}')
+    first = FS.load_graph(spark, "data", str(tmp_path))
+    assert first.nodes.count() == 1 and FS.load_graph(spark, "data", str(tmp_path)) is first
+    FS.clear_graphs("data")
+    assert FS.load_graph(spark, "data", str(tmp_path)) is not first
+    FS.clear_graphs()
+    with pytest.raises(G.GraphError, match="GRAPH_FILE_NOT_FOUND"):
+        FS.load_graph(spark, "none", str(tmp_path))
+
+
+def test_truncation_of_sections(spark):
+    parts = [("a", "x" * 500), ("b", "y" * 40), ("c", "z" * 300), ("d", "w"), ("e", "")]
+    own = RP.truncate_sections(parts, 4, 200, 400)
+    assert own[0][1] == "x" * 100 + "\n[300 characters left out]\n" + "x" * 100 and own[1][1] == "y" * 40 and own[2][1].count("z") == 160 and own[3][1] == RP.STUB and len(own) == 4
+    rows = df(spark, [(parts,)], "s array<struct<path:string,text:string>>").select(RP.truncated(F.col("s"), 4, 200, 400).alias("s")).first().s
+    assert [tuple(r) for r in rows] == own
