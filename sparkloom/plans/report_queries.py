@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 # Touches: a customer's order lines in order, each touching its part in a file of its supplier.
 _LI = "li AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2)"
 _TOUCHES = _LI + """, touches AS (SELECT o_custkey AS instance, l_orderkey * 10 + l_linenumber AS seq, 'Method-m-' || l_partkey AS id, 'p' || (l_suppkey % 7) || CASE WHEN l_suppkey % 5 = 0 THEN '.txt' ELSE '.py' END AS path, l_partkey AS part FROM li JOIN orders ON l_orderkey = o_orderkey)"""
-_SIMS = "sims AS (SELECT DISTINCT instance, id, part % 96 / 128.0 AS sim FROM touches WHERE part % 4 <> 0)"
+_SIMS = "sims AS (SELECT DISTINCT instance, id, part % 96 / 128.0 AS sim FROM touches WHERE path <> 'p3.py')"
 
 
 def order_lines(spark, d):
@@ -49,7 +49,7 @@ def touches(spark, d):
 
 
 def sims(t):
-    return t.where("part % 4 <> 0").select("instance", "id", (F.col("part") % 96 / 128).alias("sim")).distinct()
+    return t.where("path <> 'p3.py'").select("instance", "id", (F.col("part") % 96 / 128).alias("sim")).distinct()
 
 
 @query("touch_frequency", f"WITH {_TOUCHES} SELECT instance, id, count(*) AS freq FROM touches GROUP BY 1, 2")
@@ -61,13 +61,13 @@ _HEAD = "left('def f():' || chr(10) || '  return ' || part, 14)"
 
 
 @query("node_signals", f"""WITH {_TOUCHES}, {_SIMS}, n AS (SELECT DISTINCT instance, id, path, part FROM touches WHERE path LIKE '%.py' AND path < 'p5'),
-f AS (SELECT instance, id, count(*) AS freq FROM touches WHERE part % 6 <> 1 GROUP BY 1, 2), s AS (SELECT n.*, coalesce(freq, 0) AS touch_freq, sim FROM n LEFT JOIN f USING (instance, id) LEFT JOIN sims USING (instance, id))
+f AS (SELECT instance, id, count(*) AS freq FROM touches WHERE path <> 'p2.py' GROUP BY 1, 2), s AS (SELECT n.*, coalesce(freq, 0) AS touch_freq, sim FROM n LEFT JOIN f USING (instance, id) LEFT JOIN sims USING (instance, id))
 SELECT instance, CAST(row_number() OVER (PARTITION BY instance ORDER BY touch_freq DESC, id, path) AS BIGINT) AS pos, id, path, CAST(part AS VARCHAR) AS name, touch_freq, {_HEAD} AS head, sim FROM s""")
 def node_signals(spark, d):
     t = touches(spark, d)
     source = F.concat(F.lit("\n def f():\n  return "), F.col("part").cast("string"), F.lit(" "))
     nodes = t.groupBy("instance", "id", "path", "part").agg(F.lit("Method").alias("kind"), F.lit(1).alias("line_start"), F.lit(3).alias("line_end")).withColumn("source_code", source)
-    out = L.node_signals(nodes, t.where("part % 6 <> 1"), t.where("path < 'p5'").select("instance", "path"), sims(t), 14)
+    out = L.node_signals(nodes, t.where("path <> 'p2.py'"), t.where("path < 'p5'").select("instance", "path"), sims(t), 14)
     from pyspark.sql import Window as W
 
     # A part that lies in several files is several nodes of one id here, so the path breaks ties.
@@ -123,7 +123,7 @@ def rank_listwise(spark, d):
 
 
 # Hunks and nodes as in hunk_classify, an order each; pools by supplier, part and line.
-_COVER = f"""h AS ({_HUNKS}), n0 AS ({_NODES}), n AS (SELECT file AS instance, file, node_id, min(line_start) AS line_start, min(line_end) AS line_end FROM n0 GROUP BY ALL), p AS (SELECT 'all' AS pool, instance, node_id FROM n UNION ALL SELECT 'file1', instance, node_id FROM n WHERE node_id <= 4 UNION ALL SELECT 'touched', instance, node_id FROM n WHERE node_id % 2 = 1),
+_COVER = f"""h AS ({_HUNKS}), n0 AS ({_NODES}), n AS (SELECT file AS instance, file, node_id, min(line_start) AS line_start, min(line_end) AS line_end FROM n0 GROUP BY ALL), p AS (SELECT 'all' AS pool, instance, node_id FROM n UNION ALL SELECT 'file1', instance, node_id FROM n WHERE node_id <= 4 UNION ALL SELECT 'touched', instance, node_id FROM n WHERE node_id >= 3),
 names AS (SELECT DISTINCT pool FROM p), hp AS (SELECT names.pool, h.* FROM h, names), np AS (SELECT pool, n.* FROM p JOIN n USING (instance, node_id)),
 c AS (SELECT hp.pool, hp.hunk_id, any_value(hp.is_new_file) AS new, any_value(hp.count) AS count, max(CASE WHEN {_IN} THEN 1 ELSE 0 END) AS c, max(CASE WHEN {_OVER} THEN 1 ELSE 0 END) AS o FROM hp LEFT JOIN np ON np.pool = hp.pool AND np.file = hp.file GROUP BY 1, 2),
 k AS (SELECT *, CASE WHEN new THEN 'new' WHEN c = 1 THEN 'contained' WHEN o = 1 THEN 'partial' ELSE 'outside' END AS class FROM c),
@@ -136,7 +136,7 @@ def _cover(spark, d):
     h = hunks(spark, d).withColumn("instance", F.col("file"))
     one = span_nodes(spark, d).groupBy("file", "node_id").agg(F.min("line_start").alias("line_start"), F.min("line_end").alias("line_end"))
     n = one.select(F.col("file").alias("instance"), F.col("node_id").alias("id"), "file", "line_start", "line_end", (F.col("line_end") - F.col("line_start") + 1).alias("cost"))
-    pools = n.where("id <= 4").select(F.lit("file1").alias("pool"), "instance", "id").unionByName(n.where("id % 2 = 1").select(F.lit("touched").alias("pool"), "instance", "id"))
+    pools = n.where("id <= 4").select(F.lit("file1").alias("pool"), "instance", "id").unionByName(n.where("id >= 3").select(F.lit("touched").alias("pool"), "instance", "id"))
     return RE.node_cover(h, n, pools)
 
 
@@ -152,7 +152,7 @@ def cover_report(spark, d):
     return out.select("pool", "n", *[F.col(c).cast("double").alias(c) for c in ("hunk_share", "line_share", "pool_recall", "fully_covered", "pool_size")])
 
 
-@query("node_pools", f"""WITH {_TOUCHES}, n AS (SELECT DISTINCT instance, id, path FROM touches), k AS (SELECT instance, path, row_number() OVER (PARTITION BY instance ORDER BY count(*) DESC, path) AS pos FROM touches GROUP BY 1, 2), t AS (SELECT DISTINCT instance, id FROM touches WHERE part % 5 = 0)
+@query("node_pools", f"""WITH {_TOUCHES}, n AS (SELECT DISTINCT instance, id, path FROM touches), k AS (SELECT instance, path, row_number() OVER (PARTITION BY instance ORDER BY count(*) DESC, path) AS pos FROM touches GROUP BY 1, 2), t AS (SELECT DISTINCT instance, id FROM touches WHERE path < 'p4')
 SELECT 'file1' AS pool, count(*) AS n FROM n JOIN k USING (instance, path) WHERE pos <= 1 UNION ALL SELECT 'file3', count(*) FROM n JOIN k USING (instance, path) WHERE pos <= 3 UNION ALL SELECT 'file5', count(*) FROM n JOIN k USING (instance, path) WHERE pos <= 5
 UNION ALL SELECT 'touched', count(*) FROM n JOIN t USING (instance, id) UNION ALL SELECT 'touched_file5', count(*) FROM n JOIN t USING (instance, id) JOIN k USING (instance, path) WHERE pos <= 5""")
 def node_pools(spark, d):
@@ -160,7 +160,7 @@ def node_pools(spark, d):
 
     t = touches(spark, d)
     ranked = t.groupBy("instance", "path").agg(F.count("*").alias("n")).withColumn("pos", F.row_number().over(W.partitionBy("instance").orderBy(F.desc("n"), "path")))
-    return L.pools(t.select("instance", "id", "path").distinct(), t.where("part % 5 = 0"), ranked).groupBy("pool").agg(F.count("*").alias("n"))
+    return L.pools(t.select("instance", "id", "path").distinct(), t.where("path < 'p4'"), ranked).groupBy("pool").agg(F.count("*").alias("n"))
 
 
 # Methods: an order's contexts show its parts as files; its patch writes that of the first line.
@@ -208,10 +208,10 @@ def usage_summary(spark, d):
     return RE.usage_summary(e.select(F.col("event_type").alias("stage"), F.col("event_id").alias("instance"), F.floor("value").alias("prompt_tokens"), (F.col("event_id") % 50).alias("completion_tokens"), (1 + F.col("event_id") % 3).alias("calls")))
 
 
-@query("solve_summary", """WITH s AS (SELECT lang, length(text) // 4 AS i, length(left(text, 300)) // 4 AS o, text <> '' AS ti, doc_id % 3 <> 0 AND text <> '' AS t FROM documents) SELECT lang, count(*) AS n, count(*) FILTER (t) AS output_n, avg(CASE WHEN ti THEN i END) AS input_mean, median(CASE WHEN ti THEN i END) AS input_median, CAST(quantile_disc(CASE WHEN ti THEN i END, 0.9) AS DOUBLE) AS input_p90,
+@query("solve_summary", """WITH s AS (SELECT lang, length(text) // 4 AS i, length(text || lang) // 4 AS o, text <> '' AS ti, lang <> 'de' AS t FROM documents) SELECT lang, count(*) AS n, count(*) FILTER (t) AS output_n, avg(CASE WHEN ti THEN i END) AS input_mean, median(CASE WHEN ti THEN i END) AS input_median, CAST(quantile_disc(CASE WHEN ti THEN i END, 0.9) AS DOUBLE) AS input_p90,
 avg(CASE WHEN t THEN o END) AS output_mean, median(CASE WHEN t THEN o END) AS output_median, CAST(quantile_disc(CASE WHEN t THEN o END, 0.9) AS DOUBLE) AS output_p90, avg(CASE WHEN ti THEN i + CASE WHEN t THEN o ELSE 0 END END) AS total_mean, median(CASE WHEN ti THEN i + CASE WHEN t THEN o ELSE 0 END END) AS total_median, CAST(quantile_disc(CASE WHEN ti THEN i + CASE WHEN t THEN o ELSE 0 END END, 0.9) AS DOUBLE) AS total_p90 FROM s GROUP BY 1""")
 def solve_summary(spark, d):
-    rows = read(spark, d, "documents").select("lang", F.col("text").alias("prompt"), F.when(F.col("doc_id") % 3 != 0, F.left("text", F.lit(300))).alias("output"))
+    rows = read(spark, d, "documents").select("lang", F.col("text").alias("prompt"), F.when(F.col("lang") != "de", F.concat("text", "lang")).alias("output"))
     return RE.solve_summary(rows, ["lang"])
 
 
@@ -241,13 +241,18 @@ def embed_totals(spark, d):
     return RE.embed_totals(read(spark, d, "documents").select(F.col("source").alias("graph"), "text"), "passage ", 2000)
 
 
-# Contexts: a source's documents are its files, every seventeenth missing; ranked by id.
-_FILES = "f AS (SELECT source AS instance, 'd' || doc_id || '.txt' AS path, doc_id AS rank, text AS content FROM documents WHERE doc_id % 17 <> 0)"
+# Contexts: a source's documents are its files, the French ones missing; ranked by id.
+_FILES = "f AS (SELECT source AS instance, 'd' || doc_id || '.txt' AS path, doc_id AS rank, text AS content FROM documents WHERE lang <> 'fr')"
 _BODY = "'[start of ' || path || ']' || chr(10) || content || chr(10) || '[end of ' || path || ']'"
 
 
 def _files(spark, d):
-    return read(spark, d, "documents").select(F.col("source").alias("instance"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("doc_id").alias("rank"), F.col("text").alias("content"))
+    return read(spark, d, "documents").select(F.col("source").alias("instance"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("doc_id").alias("rank"), F.col("text").alias("content"), "lang")
+
+
+def _there(f):
+    """The files that are there."""
+    return f.where("lang <> 'fr'").drop("rank", "lang")
 
 
 def _asked(spark, d):
@@ -265,17 +270,17 @@ _PACKED = f"t AS (SELECT *, sum(length(content) // 3) OVER (PARTITION BY instanc
 @query("context_file_level", f"WITH {_FILES}, b AS (SELECT instance, string_agg({_BODY}, chr(10) ORDER BY rank) AS body FROM f GROUP BY 1), i AS (SELECT DISTINCT source AS instance FROM documents) SELECT i.instance, md5({_PROMPT}) AS context FROM i LEFT JOIN b ON b.instance = i.instance")
 def context_file_level(spark, d):
     f = _files(spark, d)
-    return C.file_level(f.drop("content"), f.where("rank % 17 <> 0").drop("rank"), _asked(spark, d)).select("instance", F.md5("context").alias("context"))
+    return C.file_level(f.drop("content", "lang"), _there(f), _asked(spark, d)).select("instance", F.md5("context").alias("context"))
 
 
 @query("context_budget", f"WITH {_FILES}, {_PACKED} SELECT i.instance, md5({_PROMPT}) AS context FROM i LEFT JOIN b ON b.instance = i.instance")
 def context_budget(spark, d):
     f = _files(spark, d)
-    return C.file_level(f.drop("content"), f.where("rank % 17 <> 0").drop("rank"), _asked(spark, d), 5000).select("instance", F.md5("context").alias("context"))
+    return C.file_level(f.drop("content", "lang"), _there(f), _asked(spark, d), 5000).select("instance", F.md5("context").alias("context"))
 
 
 @query("context_oracle", f"WITH {_FILES}, {_PACKED}, x AS (SELECT d.source AS instance, string_agg('d' || doc_id || '.txt', ',' ORDER BY 'd' || doc_id || '.txt') FILTER (k.path IS NULL) AS dropped FROM documents d LEFT JOIN k ON k.instance = d.source AND k.rank = d.doc_id GROUP BY 1) SELECT i.instance, md5({_PROMPT}) AS context, coalesce(dropped, '') AS dropped FROM i LEFT JOIN b ON b.instance = i.instance LEFT JOIN x ON x.instance = i.instance")
 def context_oracle(spark, d):
     f = _files(spark, d)
-    out = C.gold_files(f.drop("content"), f.where("rank % 17 <> 0").drop("rank"), _asked(spark, d), 5000)
+    out = C.gold_files(f.drop("content", "lang"), _there(f), _asked(spark, d), 5000)
     return out.select("instance", F.md5("context").alias("context"), F.array_join("dropped", ",").alias("dropped"))

@@ -50,12 +50,12 @@ def text_unnumbered(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(T.unnumbered(F.array_join(lines, "\n"))).alias("plain"))
 
 
-_MARKED = "'[start of ' || source || '/' || doc_id || '.py]  ' || chr(10) || replace(left(text, 40), chr(10), ' ') || chr(10) || '[end of ' || source || '/' || doc_id || '.py] and [start of b.py] too' || chr(10) || '[start of c.py]'"
+_MARKED = "'[start of ' || source || '/' || doc_id || '.py]  ' || chr(10) || replace(translate(text, '[]', '()'), chr(10), ' ') || chr(10) || '[end of ' || source || '/' || doc_id || '.py] and [start of b.py] too' || chr(10) || '[start of c.py]'"
 
 
 def _marked(spark, d):
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py"))
-    text = F.concat(F.lit("[start of "), path, F.lit("]  \n"), F.replace(F.left("text", F.lit(40)), F.lit("\n"), F.lit(" ")), F.lit("\n[end of "), path, F.lit("] and [start of b.py] too\n[start of c.py]"))
+    text = F.concat(F.lit("[start of "), path, F.lit("]  \n"), F.replace(F.translate("text", "[]", "()"), F.lit("\n"), F.lit(" ")), F.lit("\n[end of "), path, F.lit("] and [start of b.py] too\n[start of c.py]"))
     return read(spark, d, "documents").where("text is not null").select("doc_id", "source", text.alias("text"))
 
 
@@ -65,11 +65,11 @@ def marked_files(spark, d):
     return _marked(spark, d).select("doc_id", F.array_join(T.marked_files(t), ",").alias("anywhere"), F.array_join(T.marked_files(t, "line"), ",").alias("alone"), F.array_join(T.marked_files(t, "strict"), ",").alias("strict"))
 
 
-@query("files_with_content", "SELECT doc_id, source || '/' || doc_id || '.py' AS path, left(text, 60) AS content FROM documents WHERE NOT contains(left(text, 60), ']') UNION ALL SELECT doc_id, 'z.py', '' FROM documents WHERE NOT contains(left(text, 60), ']')")
+@query("files_with_content", "SELECT doc_id, source || '/' || doc_id || '.py' AS path, translate(text, '[]', '()') AS content FROM documents UNION ALL SELECT doc_id, 'z.py', '' FROM documents")
 def files_with_content(spark, d):
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py"))
-    docs = read(spark, d, "documents").where(~F.contains(F.left("text", F.lit(60)), F.lit("]")))
-    text = F.concat(F.lit("[start of "), path, F.lit("]\n"), F.left("text", F.lit(60)), F.lit("\n[end of "), path, F.lit("]\n[start of z.py]"))
+    docs = read(spark, d, "documents").where("text is not null").withColumn("text", F.translate("text", "[]", "()"))
+    text = F.concat(F.lit("[start of "), path, F.lit("]\n"), F.col("text"), F.lit("\n[end of "), path, F.lit("]\n[start of z.py]"))
     return docs.select("doc_id", F.explode(T.files_with_content(text)).alias("f")).select("doc_id", "f.path", "f.content")
 
 
@@ -98,9 +98,9 @@ def json_calls(spark, d):
     return read(spark, d, "events").select("event_id", F.size(T.json_objects(text)).alias("n_objects"), F.size(T.function_calls(text)).alias("n_calls"))
 
 
-@query("sections_of", "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN left(text, 50) END AS issue FROM documents")
+@query("sections_of", "SELECT doc_id, CASE WHEN lang <> 'es' THEN text END AS issue FROM documents")
 def sections_of(spark, d):
-    text = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("head\n<issue>\n"), F.left("text", F.lit(50)), F.lit("\n</issue>\n<issue>\nmore\n</issue>"))).otherwise(F.concat(F.lit("<issue>"), F.left("text", F.lit(50)), F.lit("</issue>")))
+    text = F.when(F.col("lang") != "es", F.concat(F.lit("head\n<issue>\n"), "text", F.lit("\n</issue>\n<issue>\nmore\n</issue>"))).otherwise(F.concat(F.lit("<issue>"), "text", F.lit("</issue>")))
     return read(spark, d, "documents").where("text is not null").select("doc_id", T.section(text, "issue").alias("issue"))
 
 
@@ -135,18 +135,19 @@ def numbers_shown(spark, d):
     return read(spark, d, "orders").select("o_orderkey", T.shown(F.col("o_totalprice")).alias("whole"), T.shown(F.when(k % 7 != 0, k % 7 / 8), "pct").alias("share"))
 
 
-_AUDIT = r"""l AS (SELECT doc_id, text, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 20)) AS ls FROM documents),
-m AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN [] ELSE list_filter(ls, lambda x: contains(left(text, 900), x)) END AS matched FROM l),
-a AS (SELECT doc_id AS instance, matched, CASE WHEN doc_id % 3 = 0 THEN [] ELSE list_filter(matched, lambda x: NOT contains(left(text, 400), x)) END AS leaked, doc_id % 5 = 0 AS patch_missing, doc_id % 3 = 0 AND doc_id % 5 <> 0 AS corpus_missing FROM m)"""
+_AUDIT = r"""l AS (SELECT doc_id, text, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 20)) AS ls, lang, array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: i % 2 = 1), chr(10)) AS shown, array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: i % 4 = 1), chr(10)) AS known FROM documents),
+m AS (SELECT doc_id, text, CASE WHEN lang = 'fr' THEN [] ELSE list_filter(ls, lambda x: contains(shown, x)) END AS matched, lang, known FROM l),
+a AS (SELECT doc_id AS instance, matched, CASE WHEN lang = 'es' THEN [] ELSE list_filter(matched, lambda x: NOT contains(known, x)) END AS leaked, lang = 'fr' AS patch_missing, lang = 'es' AS corpus_missing FROM m)"""
 
 
 def _audit(spark, d):
-    """Prompts show the first 900 characters of a document whose lines a patch adds; its corpus has the first 400."""
+    """A patch adds a document's lines; the prompt shows every second of them, and the corpus holds every fourth."""
     docs = read(spark, d, "documents").where("text is not null").withColumnRenamed("doc_id", "instance")
     body = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("+"), x)), "\n")
-    patches = docs.select("instance", F.when(F.col("instance") % 5 != 0, F.concat(F.lit("--- a/x\n+++ b/x\n"), body)).otherwise("").alias("patch"))
-    files = docs.where("instance % 3 <> 0").select("instance", F.explode(F.array(F.left("text", F.lit(400)), F.lit("other"))).alias("contents"))
-    return E.leak_audit(docs.select("instance", F.left("text", F.lit(900)).alias("text")), patches, files, 20)
+    patches = docs.select("instance", F.when(F.col("lang") != "fr", F.concat(F.lit("--- a/x\n+++ b/x\n"), body)).otherwise("").alias("patch"))
+    each = lambda n: F.array_join(F.filter(F.split("text", "\n"), lambda x, i: i % n == 0), "\n")
+    files = docs.where("lang <> 'es'").select("instance", F.explode(F.array(each(4), F.lit("other"))).alias("contents"))
+    return E.leak_audit(docs.select("instance", each(2).alias("text")), patches, files, 20)
 
 
 @query("leak_audit", f"WITH {_AUDIT} SELECT instance, len(matched) AS matched, len(leaked) AS leaked, patch_missing, corpus_missing FROM a")
@@ -252,23 +253,23 @@ def rebuilt_contexts(spark, d):
 _HEADER = f"{_quoted(C.HEADER)} || 'broken ' || i.instance || {_quoted(chr(10) + '</issue>' + chr(10) + '<code>' + chr(10))} || coalesce(body, '') || {_quoted(chr(10) + '</code>')} || {_quoted(C.FOOTER)}"
 
 
-@query("context_snippets", f"""WITH s AS (SELECT source AS instance, doc_id, {_SPLIT} AS ls, greatest(1 + doc_id % 5 - 2, 1) AS a, 1 + doc_id % 5 + doc_id % 4 + 2 AS b FROM documents WHERE doc_id % 3 = 0),
+@query("context_snippets", f"""WITH s AS (SELECT source AS instance, doc_id, {_SPLIT} AS ls, greatest(1 + doc_id % 5 - 2, 1) AS a, 1 + doc_id % 5 + doc_id % 4 + 2 AS b FROM documents),
 t AS (SELECT instance, doc_id, array_to_string(list_transform(ls[a:b], lambda x, i: (i + a - 1) || ' ' || x), chr(10)) AS part FROM s), f AS (SELECT instance, string_agg('[start of d' || doc_id || '.txt]' || chr(10) || part || chr(10) || '[end of d' || doc_id || '.txt]', chr(10) ORDER BY doc_id) AS body FROM t GROUP BY 1),
 i AS (SELECT DISTINCT source AS instance FROM documents) SELECT i.instance, md5({_HEADER}) AS context FROM i LEFT JOIN f ON f.instance = i.instance""")
 def context_snippets(spark, d):
-    f = _files(spark, d).where("rank % 3 = 0")
+    f = _files(spark, d).drop("lang")
     start = 1 + F.col("rank") % 5
     spans = f.select("instance", "path", F.col("rank").alias("seq"), start.alias("start"), (start + F.col("rank") % 4).alias("end"))
     return C.file_snippets(spans, f.drop("rank"), _asked(spark, d), 10**9, 2).select("instance", F.md5("context").alias("context"))
 
 
-@query("context_nodes", f"""WITH s AS (SELECT source AS instance, doc_id, {_SPLIT} AS ls FROM documents WHERE doc_id % 3 = 1 AND text <> ''), e AS (SELECT *, 10 + len(ls) - 1 AS b FROM s),
+@query("context_nodes", f"""WITH s AS (SELECT source AS instance, doc_id, {_SPLIT} AS ls FROM documents WHERE text <> ''), e AS (SELECT *, 10 + len(ls) - 1 AS b FROM s),
 t AS (SELECT instance, doc_id, '## Method ' || doc_id || ' lines 10-' || b || chr(10) || '## CALLS x' || doc_id || chr(10) || array_to_string(list_transform(ls, lambda x, i: (i + 9) || ' ' || x), chr(10)) AS part FROM e),
 f AS (SELECT instance, string_agg('[start of d' || doc_id || '.txt]' || chr(10) || part || chr(10) || '[end of d' || doc_id || '.txt]', chr(10) ORDER BY doc_id) AS body FROM t GROUP BY 1),
 i AS (SELECT DISTINCT source AS instance FROM documents) SELECT i.instance, md5({_HEADER}) AS context FROM i LEFT JOIN f ON f.instance = i.instance""")
 def context_nodes(spark, d):
     """A method a file, and one inside it that is left out."""
-    f = _files(spark, d).where("rank % 3 = 1 and content <> ''")
+    f = _files(spark, d).where("content <> ''").drop("lang")
     k = F.col("rank").cast("string")
     last = 9 + F.size(T.split_lines(F.col("content")))
     outer = f.select("instance", "path", F.col("rank").alias("seq"), F.concat(F.lit("Method-m-"), k).alias("id"), F.lit("Method").alias("kind"), F.lit(10).alias("start"), last.alias("end"), F.col("content").alias("source_code"))
