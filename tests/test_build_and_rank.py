@@ -1,6 +1,7 @@
 """The builder, caches, loaders and list-wise ranking over small cases."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,11 +9,14 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.operators import builder as B
 from sparkloom.operators import caches as K
+from sparkloom.operators import evaluate as E
 from sparkloom.operators import graph as G
 from sparkloom.operators import localise as L
 from sparkloom.operators import repair as RP
 from sparkloom.operators import reports as RE
+from sparkloom.operators import spans as S
 from sparkloom.operators import validate as VA
+from sparkloom.operators.lineage import numbered
 from sparkloom.sources import files as FS
 
 FIVE = [(f"m{k}.py", f"class C{k}:\n    def run{k}(self):\n        return f{k}()\n\ndef f{k}():\n    return {k}\n") for k in range(5)]
@@ -225,3 +229,38 @@ def test_truncation_of_sections(spark):
     assert own[0][1] == "x" * 100 + "\n[300 characters left out]\n" + "x" * 100 and own[1][1] == "y" * 40 and own[2][1].count("z") == 160 and own[3][1] == RP.STUB and len(own) == 4
     rows = df(spark, [(parts,)], "s array<struct<path:string,text:string>>").select(RP.truncated(F.col("s"), 4, 200, 400).alias("s")).first().s
     assert [tuple(r) for r in rows] == own
+
+
+def test_bins_change_no_pair(spark):
+    """Hunks and nodes of one file against all pairs, with bins far smaller than spans."""
+    r = random.Random(7)
+    nodes = [(k, "f", a, a + r.choice([0, 1, 5, 40, 300])) for k, a in enumerate(r.randrange(1, 400) for _ in range(60))]
+    hunks = [(k, "f", a, a + max(c, 1) - 1, c, k % 9 == 0) for k, (a, c) in enumerate((r.randrange(0, 420), r.choice([0, 1, 2, 30])) for _ in range(80))]
+    h = df(spark, hunks, "hunk_id int, file string, h_start long, h_end long, count long, is_new_file boolean")
+    n = df(spark, nodes, "node_id int, file string, line_start long, line_end long")
+    inside = lambda a, b, s, e, c: a <= s < b if c == 0 else a <= s and e <= b
+    over = lambda a, b, s, e, c: a <= s <= b if c == 0 else s <= b and a <= e
+    for how, test in (("contains", inside), ("overlaps", over)):
+        want = {(k, m) for k, _, s, e, c, new in hunks for m, _, a, b in nodes if not new and test(a, b, s, e, c)}
+        for lines in (3, 50, 10**6):
+            got = [(x.hunk_id, x.node_id) for x in S.hunk_nodes(h, n, how, lines).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    kinds = {x.hunk_id: x["class"] for x in S.classify_hunks(h, n, 7).collect()}
+    for k, _, s, e, c, new in hunks:
+        own = "new" if new else "contained" if any(inside(a, b, s, e, c) for _, _, a, b in nodes) else "partial" if any(over(a, b, s, e, c) for _, _, a, b in nodes) else "outside"
+        assert kinds[k] == own
+
+
+def test_lines_searched_in_parts(spark):
+    lines = df(spark, [("i", f"line number {k}") for k in range(40)] + [("j", "line number 3"), ("j", "")], "instance string, line string")
+    texts = df(spark, [("x line number 3 y line number 31 line number 3",), ("line number 12",), (None,), ("",)], "text string")
+    want = {("i", "line number 3"): 1, ("j", "line number 3"): 1, ("i", "line number 31"): 1, ("i", "line number 1"): 1, ("i", "line number 12"): 1}
+    for size in (1 << 20, 100):
+        assert {(x.instance, x.line): x.n_texts for x in E.leaks(lines, texts, size).collect()} == want
+    assert E.leaks(lines.limit(0), texts).count() == 0
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.range(1000).select(F.xxhash64("id").alias("k"), "id").repartition(7)
+    got = numbered(rows, "n", "k").orderBy("n").collect()
+    assert [x.n for x in got] == list(range(1000)) and [x.k for x in got] == sorted(x.k for x in got)
