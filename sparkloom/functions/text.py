@@ -175,6 +175,28 @@ def files_with_content(text: Column) -> Column:
     return F.transform(paths, lambda p: F.struct(p.alias("path"), content(p).alias("content")))
 
 
+#: A file's section of a prompt, from its start marker to the end marker of the same path (fixed format).
+_SECTION = r"(?s)\[start of (.+?)\]\n(.*?)\n\[end of \1\]"
+
+
+def prompt_parts(text: Column) -> Column:
+    """struct(header, footer, separator, blocks map<path, section>, order array<path>) of a prompt with file sections.
+
+    separator is what stands between the first two, a line feed if there is one section or none; of a path's
+    sections the first counts. Without any the whole text is the header.
+    """
+    between = F.split(text, _SECTION, -1)
+    paths, whole = F.regexp_extract_all(text, F.lit(_SECTION), 1), F.regexp_extract_all(text, F.lit(_SECTION), 0)
+    firsts = F.filter(F.arrays_zip(paths.alias("path"), whole.alias("section"), F.sequence(F.lit(1), F.greatest(F.size(paths), F.lit(1))).alias("k")), lambda x: x["path"].isNotNull() & (F.array_position(paths, x["path"]) == x["k"]))
+    return F.struct(
+        between[0].alias("header"),
+        F.when(F.size(paths) > 0, F.element_at(between, -1)).otherwise("").alias("footer"),
+        F.when(F.size(paths) > 1, F.get(between, F.lit(1))).otherwise("\n").alias("separator"),
+        F.map_from_entries(F.transform(firsts, lambda x: F.struct(x["path"], x["section"]))).alias("blocks"),
+        F.array_distinct(paths).alias("order"),
+    )
+
+
 def requirement(line: Column) -> Column:
     """struct(name, version) of a requirements line, null for blanks, comments and options."""
     bare = F.trim(line)

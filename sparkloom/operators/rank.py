@@ -104,15 +104,16 @@ def comparator_sort(items: list[str], judge: Callable[[str, str], str | None]) -
         return list(items), calls, True
 
 
-def rebuild(contexts: DataFrame, rankings: DataFrame) -> DataFrame:
+def rebuild(contexts: DataFrame, rankings: DataFrame, k: int | None = None) -> DataFrame:
     """Contexts of rankings: instance, context, missing, rerank_used.
 
     contexts: instance, header, footer, separator, blocks map<path, block>, order array<path>;
-    rankings: instance, ranked array<path>. Paths without a block are told as missing; an instance
+    rankings: instance, ranked array<path>, of which the first k count. Paths without a block are told as missing; an instance
     without a ranking, or with none of its blocks in it, keeps its own order.
     """
     rows = contexts.join(rankings, "instance", "left")
     distinct = F.array_distinct(F.coalesce("ranked", F.array().cast("array<string>")))
+    distinct = distinct if k is None else F.slice(distinct, 1, k)
     there = F.filter(distinct, lambda p: F.map_contains_key("blocks", p))
     rows = rows.select("instance", "header", "footer", "separator", "blocks", "order", there.alias("there"), F.filter(distinct, lambda p: ~F.map_contains_key("blocks", p)).alias("missing"))
     used = F.size("there") > 0

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,6 +126,22 @@ def read_signatures(meta: PropertyGraph) -> DataFrame:
     return s.join(t, ["type", "k"]).select(F.col("type").alias("label"), "source_type", "target_type")
 
 
+def compiles(pattern: Column) -> Column:
+    """Whether it is a regular expression; null for null."""
+
+    @F.pandas_udf("boolean")
+    def good(patterns: pd.Series) -> pd.Series:
+        def one(p):
+            try:
+                return p if p is None else bool(re.compile(p))
+            except re.error:
+                return False
+
+        return pd.Series([one(p) for p in patterns], dtype=object)
+
+    return good(pattern)
+
+
 def meta_checks(meta: PropertyGraph) -> DataFrame:
     """Violations of a meta graph: types, end points, data types, patterns, counts and mandatory flags."""
     elements = meta.elements().withColumn("type", F.coalesce(F.nullif(F.col("props")["origin_type"], F.lit("")), F.nullif(F.col("props")["meta_type"], F.lit(""))))
@@ -142,6 +160,7 @@ def meta_checks(meta: PropertyGraph) -> DataFrame:
             _rows(elements.where(props["maxCount"].isNotNull() & F.coalesce(number("maxCount") < 0, F.lit(True))), "meta", "INVALID_MAX_COUNT", "id", props["maxCount"]),
             _rows(elements.where(number("maxCount") < number("minCount")), "meta", "INVALID_CARDINALITY", "id", F.concat_ws(">", props["minCount"], props["maxCount"])),
             _rows(elements.where(props["isMandatory"].isNotNull() & ~flag.isin("true", "false")), "meta", "INVALID_MANDATORY", "id", props["isMandatory"]),
+            _rows(nodes.where((F.col("type") == "PropertyType") & props["validationRegex"].isNotNull()).where(~compiles(props["validationRegex"])), "meta", "INVALID_REGEX", "id", props["validationRegex"]),
             _rows(paired_signatures(meta), "meta", "MALFORMED_SIGNATURE", "element_id", F.col("detail")),
         ]
     )

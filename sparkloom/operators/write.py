@@ -151,6 +151,13 @@ def update_graph(spark: SparkSession, graph: PropertyGraph, batch: Batch, verify
     return Result("sat", True, [], after, applied)
 
 
+def commit(spark: SparkSession, graph: PropertyGraph, batch: Batch, verify=None) -> tuple[PropertyGraph, dict]:
+    """(graph, answer): the updated graph, or the old one with what was wrong: status, committed, message, and counts."""
+    done = update_graph(spark, graph, batch, verify)
+    message = "" if done.committed else f"{done.n_errors} errors: " + ", ".join(f"{code} {element}" for code, element in done.errors[:10])
+    return done.graph, {"status": done.status, "committed": done.committed, "message": message} | done.applied
+
+
 def save_snapshot(spark: SparkSession, graph: PropertyGraph, path: str, version: int) -> str:
     """Writes a snapshot and then the pointer file that makes it the current one; older snapshots stay for going back."""
     at = f"{path}/v{version:08d}"

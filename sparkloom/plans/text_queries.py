@@ -73,6 +73,15 @@ def files_with_content(spark, d):
     return docs.select("doc_id", F.explode(T.files_with_content(text)).alias("f")).select("doc_id", "f.path", "f.content")
 
 
+@query("prompt_parts", "SELECT doc_id, 'issue ' || lang || chr(10) AS header, chr(10) || 'tail' AS footer, chr(10) || chr(10) AS separator, 'a' || doc_id || '.py,b.py' AS files, md5('[start of a' || doc_id || '.py]' || chr(10) || translate(text, '[]', '()') || chr(10) || '[end of a' || doc_id || '.py]') AS first FROM documents")
+def prompt_parts(spark, d):
+    path = F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit(".py"))
+    block = F.concat(F.lit("[start of "), path, F.lit("]\n"), F.translate("text", "[]", "()"), F.lit("\n[end of "), path, F.lit("]"))
+    text = F.concat(F.lit("issue "), "lang", F.lit("\n"), block, F.lit("\n\n[start of b.py]\ny\n[end of b.py]\n[start of b.py]\nagain\n[end of b.py]\ntail"))
+    rows = read(spark, d, "documents").where("text is not null").select("doc_id", path.alias("path"), T.prompt_parts(text).alias("p"))
+    return rows.select("doc_id", "p.header", "p.footer", "p.separator", F.array_join("p.order", ",").alias("files"), F.md5(F.col("p.blocks")[F.col("path")]).alias("first"))
+
+
 @query("patch_lines", r"""WITH l AS (SELECT doc_id, source, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS ls FROM documents)
 SELECT doc_id, source || '.py' AS files, len(list_distinct(list_filter(ls, lambda x: length(x) >= 20))) AS n_added FROM l""")
 def patch_lines(spark, d):

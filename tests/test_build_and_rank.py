@@ -16,6 +16,7 @@ from sparkloom.operators import repair as RP
 from sparkloom.operators import reports as RE
 from sparkloom.operators import spans as S
 from sparkloom.operators import validate as VA
+from sparkloom.operators import write as WR
 from sparkloom.operators.lineage import numbered
 from sparkloom.sources import files as FS
 
@@ -264,3 +265,19 @@ def test_numbers_follow_the_order(spark):
     rows = spark.range(1000).select(F.xxhash64("id").alias("k"), "id").repartition(7)
     got = numbered(rows, "n", "k").orderBy("n").collect()
     assert [x.n for x in got] == list(range(1000)) and [x.k for x in got] == sorted(x.k for x in got)
+
+
+def test_parts_of_prompts(spark):
+    text = "head\n[start of a.py]\nx\n[end of a.py]\ntail"
+    rows = df(spark, [(text,), ("no markers",), ("",)], "t string").coalesce(1).select(T.prompt_parts(F.col("t")).alias("p")).collect()
+    assert tuple(rows[0].p) == ("head\n", "\ntail", "\n", {"a.py": "[start of a.py]\nx\n[end of a.py]"}, ["a.py"])
+    assert tuple(rows[1].p) == ("no markers", "", "\n", {}, []) and tuple(rows[2].p) == ("", "", "\n", {}, [])
+
+
+def test_broken_patterns_and_commits(spark):
+    meta = G.from_rows(spark, [("p", "p"), ("q", "q"), ("r", "r")], [], {"p": {"meta_type": "PropertyType", "validationRegex": "[a"}, "q": {"meta_type": "PropertyType", "validationRegex": "a+"}, "r": {"meta_type": "NodeType"}})
+    assert [(r.error_type, r.element_id) for r in VA.meta_checks(meta).collect()] == [("INVALID_REGEX", "p")]
+    graph, told = WR.commit(spark, meta, WR.Batch(deleted_nodes=df(spark, [("zz",)], "id string")))
+    assert graph is meta and told == {"status": "unsat", "committed": False, "message": "1 errors: ELEMENT_NOT_FOUND zz"}
+    graph, told = WR.commit(spark, meta, WR.Batch(nodes=df(spark, [("n", None)], "id string, label string")))
+    assert told["committed"] and told["nodes"] == 1 and graph.nodes.count() == 4
