@@ -108,3 +108,14 @@ def test_confirmed_pairs_grow_with_members(spark, monkeypatch):
     monkeypatch.setattr(hm, "confirm", counted)
     near_duplicates(spark, spark.createDataFrame(family(300, 40, [3], 1), "doc_id long, text string"), 2, block=100).count()
     assert sizes and all(s <= 300 for s in sizes)
+
+
+def test_very_long_texts(spark):
+    """Megabytes each: near copies and a stranger, in groups that hold one text a side."""
+    r = random.Random(21)
+    base = [f"w{r.randrange(10**6)}" for _ in range(250_000)]
+    near = [f"n{k}" if k % 31 == 0 else w for k, w in enumerate(base)]
+    far = [f"f{k}" if k % 7 == 0 else w for k, w in enumerate(base)]
+    data = [(5, " ".join(base)), (9, " ".join(near)), (7, " ".join(far)), (8, " ".join(base[:1000]))]
+    got = {tuple(x) for x in near_duplicates(spark, spark.createDataFrame(data, "doc_id long, text string"), 2).select("doc_id", "n_shingles", "component_id", "kept").collect()}
+    assert got == brute(data, 2) and {x[2] for x in got if x[0] in (5, 9)} == {5}
