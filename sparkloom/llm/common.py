@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Most ids (8 bytes each) that semi_filter sends to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of whole texts that go to a Python worker at a time, where the session has Spark's own setting (64 MB).
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -106,7 +106,7 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word, computed over blocks of about a megabyte."""
+    """A 64-bit hash of each word, computed block by block."""
     out = np.empty(len(starts), U)
     k = 0
     while k < len(starts):
@@ -171,7 +171,7 @@ def blocks(at: np.ndarray, size: int) -> list[tuple[int, int]]:
     return out
 
 
-def row_slices(column: pa.Array, size: int = 1 << 20) -> list[tuple[int, int]]:
+def row_slices(column: pa.Array, size: int = 1 << 19) -> list[tuple[int, int]]:
     """Row ranges of a string array of about ``size`` bytes each."""
     _, at = text_bytes(column)
     return blocks(at, size)
