@@ -4,7 +4,7 @@ A host whose pages the rules mostly allow is a trusted seed, one whose pages the
 blocked seed, weighted by those pages. Trust is the personalised PageRank of the trusted seeds along
 links; distrust is that of the blocked seeds against the links, so it reaches those who link to bad
 hosts. Both run as one table per step (partial sums before each shuffle), written to the shared
-folder, until distrust less trust of any host, as a multiple of the mean host's share, is within
+folder once, until distrust less trust of any host, as a multiple of the mean host's share, is within
 TOLERANCE of its limit. A host is blocked if its distrust, so measured, exceeds its trust by MARGIN.
 """
 
@@ -90,26 +90,33 @@ def propagate(kept: Stored, links: DataFrame, seeds: DataFrame, steps: int | Non
     long = seeds.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("trusted").alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("seed")))).alias("x")).select("x.kind", "host", "x.seed").where("seed > 0")
     totals = long.groupBy("kind").agg(F.sum("seed").alias("all"))
     start = kept.put("uf_seed", long.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("seed") / F.col("all")).alias("seed")))
-    rank = start.withColumnRenamed("seed", "rank")
     linked = not both.isEmpty()
     if linked and hosts is None:
         hosts = host_count(links, seeds)
     if linked and steps is None:
         steps = steps_needed(hosts, damping)
+    goes_on = out.select("kind", F.col("from").alias("host"), F.lit(True).alias("goes_on"))
+
+    def put(rows: DataFrame) -> DataFrame:
+        return kept.put("uf_rank", rows.join(goes_on, ["kind", "host"], "left").select("kind", "host", "rank", F.coalesce("goes_on", F.lit(False)).alias("goes_on")))
+
+    rank = put(start.withColumnRenamed("seed", "rank"))
+    # What the linked hosts of each kind hold, which a step moves on: one row a kind.
+    held = {r.kind: r.held for r in rank.groupBy("kind").agg(F.sum(F.when(F.col("goes_on"), F.col("rank")).otherwise(0.0)).alias("held")).collect()} if linked else {}
     for _ in range(steps if linked else 0):
         moved = both.join(rank, (both["kind"] == rank["kind"]) & (both["from"] == rank["host"])).select(both["kind"], F.col("to").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
-        arrived = kept.put("uf_moved", moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
-        given = arrived.groupBy("kind").agg(F.sum("rank").alias("given"))
-        back = start.join(F.broadcast(given), "kind", "left").select("kind", "host", (F.col("seed") * (1 - F.coalesce("given", F.lit(0.0)))).alias("rank"))
-        new = kept.put("uf_rank", arrived.unionByName(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
-        change = new.alias("n").join(rank.alias("o"), ["kind", "host"], "left").agg(F.sum(F.abs(F.col("n.rank") - F.coalesce("o.rank", F.lit(0.0))))).first()[0]
-        kept.drop("uf_moved")
-        for path in kept.paths["uf_rank"][:-2]:
+        given = F.when(F.col("kind") == "trust", damping * held.get("trust", 0.0)).otherwise(damping * held.get("distrust", 0.0))
+        back = start.select("kind", "host", (F.col("seed") * (1 - given)).alias("rank"))
+        new = put(moved.unionByName(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
+        moved_by = F.abs(F.col("n.rank") - F.coalesce("o.rank", F.lit(0.0)))
+        sums = new.alias("n").join(rank.alias("o"), ["kind", "host"], "left").groupBy("kind").agg(F.sum(moved_by).alias("change"), F.sum(F.when(F.col("n.goes_on"), F.col("n.rank")).otherwise(0.0)).alias("held")).collect()
+        change, held = sum(r.change for r in sums), {r.kind: r.held for r in sums}
+        for path in kept.paths["uf_rank"][:-1]:
             kept.paths["uf_rank"].remove(path)
             kept.paths.setdefault("uf_old", []).append(path)
         kept.drop("uf_old")
         rank = new
-        if change is None or change * damping / (1 - damping) * hosts < TOLERANCE:
+        if change * damping / (1 - damping) * hosts < TOLERANCE:
             break
     else:
         if linked:
