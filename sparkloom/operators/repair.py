@@ -5,12 +5,16 @@ from __future__ import annotations
 import difflib
 import re
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut, numbered
+
 _BLOCK = re.compile(r"<<<<<<< SEARCH\n(.*?)\n?=======\n(.*?)\n?>>>>>>> REPLACE", re.S)
 _HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 _PAIR = re.compile(r"^(\S+)\s+in\s+(\S+)$")
@@ -189,7 +193,128 @@ def covers(rows: DataFrame) -> DataFrame:
                 picked.append(greedy_cover(sets, costs))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(picked, pa.list_(pa.string()))], names=["instance", "picked"])
 
-    return own.mapInArrow(run, "instance string, picked array<string>")
+    return own.mapInArrow(run, f"instance {rows.schema['instance'].dataType.simpleString()}, picked array<string>")
+
+
+#: Most sets whose costs and ids are sent to the workers; with more, covers() gets all rows.
+BROADCAST_SETS = 1_000_000
+#: Instances are covered in so many waves, so that the sets of a part of them only are on disk at a time.
+WAVES = 8
+
+
+def _batch_covers(group: np.ndarray, ranks: np.ndarray, sizes: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups and ranks of the sets picked, in order by group, as greedy_cover would; each row, an element of its group, holds the next sizes ranks.
+
+    While an element is open, its cheapest set is at hand, so no other set is picked for it that costs
+    over that set's cost times the instance's elements, and none that serves this element alone. What
+    is left are the cheapest sets and the few that serve several elements. That needs costs of 0 or
+    more; an element with negative costs only keeps all its sets, and others never need those.
+    """
+    n, total = int(group[-1]) + 1, len(group)
+    row = np.repeat(np.arange(total), sizes)
+    first_free = int(np.searchsorted(costs, 0.0))  # ranks below have negative costs
+    best = np.minimum.reduceat(np.where(ranks >= first_free, ranks, len(costs)), np.cumsum(sizes) - sizes)
+    negative = best == len(costs)
+    most = np.where(negative, 0.0, np.append(costs, 0.0)[best]) * np.bincount(group, minlength=n)[group] * (1 + 1e-9)
+    keep = np.flatnonzero((ranks >= first_free) & (costs[ranks] <= most[row]) | negative[row])
+    row, rank = row[keep], ranks[keep]
+    key = group[row].astype(np.int64) * len(costs) + rank
+    ordered = np.sort(key)
+    several = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    place = np.searchsorted(several, key)
+    keep = (rank == best[row]) | negative[row]
+    if len(several):
+        keep |= several[np.minimum(place, len(several) - 1)] == key
+    row, key = row[keep], key[keep]
+    picks = []
+    while len(row):
+        sets, which, left = np.unique(key, return_inverse=True, return_counts=True)
+        of, rank = np.divmod(sets, len(costs))
+        with np.errstate(divide="ignore"):
+            ratio = np.where(costs[rank] == 0, np.inf, left / costs[rank])
+        order = np.lexsort((rank, -ratio, of))
+        chosen = order[np.r_[True, of[order][1:] != of[order][:-1]]]
+        picks.append(sets[chosen])
+        taken = np.zeros(len(sets), bool)
+        taken[chosen] = True
+        covered = np.zeros(total, bool)
+        covered[row[taken[which]]] = True
+        open_ = ~covered[row]
+        row, key = row[open_], key[open_]
+    picked = np.concatenate(picks)
+    of, rank = np.divmod(picked, len(costs))
+    order = np.argsort(of, kind="stable")
+    return of[order], rank[order]
+
+
+def offered_covers(need: DataFrame, offers: DataFrame, sets: DataFrame) -> DataFrame:
+    """instance, picked array<set_id> as covers() gives them, where each instance (instance, element) may use all sets (set_id, cost) that offer (element, set_id).
+
+    An element's sets are one array of ranks by cost and id, so instances needn't be joined with every
+    set of every element as rows. A cost that is null or not a number counts as infinite. Instances
+    whose elements nobody offers are left out, as are null ones.
+    """
+    spark = need.sparkSession
+    cost = F.coalesce(F.nanvl(F.col("cost").cast("double"), F.lit(float("inf"))), F.lit(float("inf")))
+    own = sets.where("set_id is not null").groupBy("set_id").agg(F.min(cost).alias("cost"))
+    own = cut(numbered(own.withColumn("name", F.col("set_id").cast("string")), "rank", "cost", "name"))
+    n = own.count()
+    need = need.select("instance", "element").where("instance is not null and element is not null")
+    if not n:
+        return need.limit(0).select("instance", F.array().cast("array<string>").alias("picked"))
+    if n > BROADCAST_SETS:
+        return covers(need.distinct().join(offers.select("element", "set_id").distinct(), "element").join(own, "set_id").select("instance", F.col("name").alias("set_id"), "element", "cost"))
+    known = own.select("rank", "cost", "name").toPandas().sort_values("rank")
+    shared = spark.sparkContext.broadcast((known["cost"].to_numpy(), pa.array(known["name"], pa.string())))
+    ranked = offers.select("element", "set_id").join(F.broadcast(own.select("set_id", F.col("rank").cast("int").alias("rank"))), "set_id").select("element", "rank")
+    lists = ranked.repartition("element").groupBy("element").agg(F.collect_set("rank").alias("ranks")).withColumn("cell", F.monotonically_increasing_id())
+    kind = need.schema["instance"].dataType.simpleString()
+
+    def run(batches):
+        costs, names = shared.value
+
+        def picked(parts):
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            instance = rows.column("instance").combine_chunks()
+            group = instance.dictionary_encode().indices.to_numpy()
+            cell = rows.column("cell").to_numpy()
+            fresh = np.r_[True, (group[1:] != group[:-1]) | (cell[1:] != cell[:-1])]  # repeated needs are neighbours
+            if not fresh.all():
+                rows = rows.filter(pa.array(fresh))
+                group = group[fresh]
+            held = rows.column("ranks").combine_chunks()
+            of, rank = _batch_covers(group, held.flatten().to_numpy(), held.value_lengths().to_numpy(), costs)
+            ends = np.searchsorted(of, np.arange(int(group[-1]) + 2)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([instance.dictionary_encode().dictionary, pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(rank)))], names=["instance", "picked"])
+
+        waiting = []  # rows of the last instance, which the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column("instance").dictionary_encode().indices.to_numpy()
+            last = int(np.searchsorted(codes, codes[-1]))
+            if last == 0 and waiting and waiting[-1].column("instance")[-1] == batch.column("instance")[0]:
+                waiting.append(batch)
+                continue
+            if waiting or last:
+                yield picked([*waiting, *([batch.slice(0, last)] if last else [])])
+            waiting = [batch.slice(last)]
+        if waiting:
+            yield picked(waiting)
+
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, None)
+    spark.conf.set(clean, "true")  # shuffle files go once the lists or a wave are done
+    out = []
+    try:
+        lists = cut(lists)
+        for wave in range(WAVES):
+            some = need.where(F.pmod(F.xxhash64("instance"), F.lit(WAVES)) == wave)
+            rows = some.join(lists, "element").select("instance", "cell", "ranks").repartition("instance").sortWithinPartitions("instance", "cell")
+            out.append(cut(rows.mapInArrow(run, f"instance {kind}, picked array<string>")))
+    finally:
+        spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
+    return reduce(DataFrame.unionByName, out)
 
 
 STUB = "[content left out]"

@@ -187,9 +187,10 @@ SELECT CAST(instance AS VARCHAR) AS instance, picked FROM r WHERE len(rest) = 0"
 def set_cover(spark, d):
     """For each order, suppliers picked greedily to cover its parts, cheapest by balance."""
     li, s = spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/supplier.parquet")
-    offers = li.select("l_suppkey", "l_partkey").distinct()
-    rows = li.select("l_orderkey", "l_partkey").distinct().join(offers, "l_partkey").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    return repair.covers(rows.select(F.col("l_orderkey").cast("string").alias("instance"), F.col("l_suppkey").cast("string").alias("set_id"), F.col("l_partkey").alias("element"), (F.col("s_acctbal") + 2000).alias("cost")))
+    need = li.select(F.col("l_orderkey").alias("instance"), F.col("l_partkey").alias("element"))
+    offers = li.select(F.col("l_partkey").alias("element"), F.col("l_suppkey").alias("set_id"))
+    picked = repair.offered_covers(need, offers, s.select(F.col("s_suppkey").alias("set_id"), (F.col("s_acctbal") + 2000).alias("cost")))
+    return picked.select(F.col("instance").cast("string").alias("instance"), "picked")
 
 
 @query("short_span_totals", """WITH p AS (SELECT l_orderkey AS k, l_linenumber AS id, CAST(l_quantity AS BIGINT) AS a, CAST(l_quantity AS BIGINT) + l_linenumber AS b FROM lineitem)

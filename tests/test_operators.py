@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,35 @@ def test_repair():
     assert [p for p, _ in cut] == ["a", "b"] and cut[0][1] == "x" * 100 + "\n[300 characters left out]\n" + "x" * 100 and cut[1][1] == RP.STUB
 
 
+@pytest.mark.parametrize("costs", [(1, 2, 2, 3, 5), (0, 0, 1, 4, 9), (-3, -1, -1, 2, 4)])
+def test_offered_covers_equal_the_greedy_ones(spark, costs, monkeypatch):
+    """Elements up to 12 an instance, repeated needs and offers, an unknown set, an element without offers, a null instance, batches of 7 rows."""
+    r = random.Random(sum(costs))
+    sets = {k: float(r.choice(costs)) for k in range(90, 130)}
+    offers = [(e, r.choice([*sets, 7])) for e in range(30) for _ in range(r.randrange(1, 14))] * 2
+    need = [(i, r.randrange(31)) for i in range(120) for _ in range(r.randrange(1, 13))] + [(500, 30), (None, 1)]
+    want = {}
+    for i in {i for i, _ in need if i is not None}:
+        held = {}
+        for e, k in offers:
+            if (i, e) in need and k in sets:
+                held.setdefault(str(k), set()).add(e)
+        if held:
+            want[i] = RP.greedy_cover(held, {k: sets[int(k)] for k in held})
+    frames = [spark.createDataFrame(need, "instance long, element int"), spark.createDataFrame(offers, "element int, set_id long"), spark.createDataFrame([*sets.items()], "set_id long, cost double")]
+    monkeypatch.setattr(RP, "covers", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = RP.offered_covers(*frames).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and {x.instance: x.picked for x in got} == want
+    monkeypatch.undo()
+    monkeypatch.setattr(RP, "BROADCAST_SETS", 10)
+    if costs[0]:
+        assert {x.instance: x.picked for x in RP.offered_covers(*frames).collect()} == want
+
+
 def test_rank(spark):
     pool = spark.createDataFrame([("i", k, x) for k, x in enumerate("abcd")], "instance string, pos int, item string")
     chunks = spark.createDataFrame([("i", 0, 0, "b"), ("i", 1, 0, "d"), ("i", 0, 1, "a"), ("i", 1, 1, "zz"), ("i", 1, 2, "b")], "instance string, chunk int, pos int, item string")
